@@ -27,3 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number of pieces to aim for in own splits."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has slots, for work per row that costs far
+    more than moving the row; left alone where the scan already gives enough."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
