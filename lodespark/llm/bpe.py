@@ -17,8 +17,13 @@ from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
+
+from lodespark.session import spread
 
 #: Longest pre-token (characters) that is cached, and most entries the cache holds before it starts anew.
 CACHE_CHARS, CACHE_ENTRIES = 64, 400_000
@@ -189,7 +194,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str, rows: int = 512
 
     Repeated rows stay repeated; a null key is kept. ``path`` is the rank file, on every worker.
     """
-    schema = df.select(key).schema.add("ids", "array<int>")
+    schema = df.select(key).schema.add("ids", ArrayType(IntegerType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -203,14 +208,11 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str, rows: int = 512
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(task, schema)
+    return spread(df.select(key, text)).mapInArrow(task, schema)
 
 
 def count_tokens(path: str):
     """A pandas UDF: number of tokens of a text, 0 for null."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("bigint")
     def tokens(texts: pd.Series) -> pd.Series:
         bpe = encoder(path)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.llm.bpe import encode_corpus
+from lodespark.llm.packing import pack_texts
+from lodespark.llm.splitting import split_oversized
 from lodespark.session import table
 
 #: Folder of the public vocabularies, the same on every worker.
@@ -19,5 +21,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_packed": p9_packed, "p10_pieces": p10_pieces}
 ORACLES: dict[str, str] = {}
