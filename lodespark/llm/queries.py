@@ -8,15 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.llm.bpe import encode_corpus
+from lodespark.llm.groups import describe_groups, similarity_groups
 from lodespark.llm.packing import pack_texts
+from lodespark.llm.similar import most_similar
 from lodespark.llm.splitting import split_oversized
-from lodespark.session import table
+from lodespark.llm.vectors import unit_vectors
+from lodespark.session import cut, table
 
 #: Folder of the public vocabularies, the same on every worker.
 TOKENIZERS = os.environ.get("LODESPARK_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return unit_vectors(table(spark, d, "embedding_vectors"), "reddit_post_id", "embedding")
+
+
+def p4_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The up to five most similar posts of every post, with their cosines."""
+    return most_similar(_vectors(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_similar(spark, d).select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return similarity_groups(_vectors(spark, d)).withColumnRenamed("id", "reddit_post_id")
+
+
+def p6_described(spark: SparkSession, d: str) -> DataFrame:
+    """Each group with its size, its most typical posts and their keywords."""
+    words = table(spark, d, "reddit_post_new").select(F.col("id"), F.explode(F.split(F.lower("keywords"), ",")).alias("term"))
+    words = words.select("id", F.trim("term").alias("term")).where("term <> ''").distinct()
+    vectors = cut(_vectors(spark, d))
+    return describe_groups(similarity_groups(vectors), vectors, words)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
 
@@ -29,5 +57,19 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_packed": p9_packed, "p10_pieces": p10_pieces}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p4_found": p4_found, "p4_similar": p4_similar, "p6_found": p6_found, "p6_described": p6_described, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_pieces": p10_pieces}
+_UNIT = """
+    u as (select reddit_post_id as id, try_cast(embedding as double[]) as v from embedding_vectors where reddit_post_id is not null group by all),
+    ok as (select id, v from u where len(v) = 200 and len(list_filter(v, lambda x: not isfinite(coalesce(x, 'nan'::double)))) = 0 and list_max(list_transform(v, lambda x: abs(x))) > 0),
+    pairs as (select a.id as a, b.id as b, list_cosine_similarity(a.v, b.v) as c from ok a join ok b on a.id <> b.id and list_cosine_similarity(a.v, b.v) >= 0.57)"""
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"""
+        with {_UNIT},
+        best as (select a, b from pairs qualify row_number() over (partition by a order by c desc, b desc) <= 5)
+        select distinct least(a, b) as id_a, greatest(a, b) as id_b from best""",
+    "p6_found": f"""
+        with recursive {_UNIT},
+        reach as (select a as id, a as seen from pairs union select r.id, p.b from reach r join pairs p on p.a = r.seen)
+        select id as reddit_post_id, min(seen) as group_first_id from reach group by id""",
+}
