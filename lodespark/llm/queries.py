@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodespark.llm.boilerplate import main_body
 from lodespark.llm.bpe import encode_corpus
 from lodespark.llm.groups import describe_groups, similarity_groups
 from lodespark.llm.packing import pack_texts
@@ -45,6 +46,10 @@ def p6_described(spark: SparkSession, d: str) -> DataFrame:
     return describe_groups(similarity_groups(vectors), vectors, words)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_body(table(spark, d, "reddit_post_new"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
 
@@ -57,7 +62,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
 
 
-QUERIES = {"p4_found": p4_found, "p4_similar": p4_similar, "p6_found": p6_found, "p6_described": p6_described, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_pieces": p10_pieces}
+QUERIES = {"p4_found": p4_found, "p4_similar": p4_similar, "p6_found": p6_found, "p6_described": p6_described, "p7_found": p7_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_pieces": p10_pieces}
 _UNIT = """
     u as (select reddit_post_id as id, try_cast(embedding as double[]) as v from embedding_vectors where reddit_post_id is not null group by all),
     ok as (select id, v from u where len(v) = 200 and len(list_filter(v, lambda x: not isfinite(coalesce(x, 'nan'::double)))) = 0 and list_max(list_transform(v, lambda x: abs(x))) > 0),
