@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,20 @@ def spread(df: DataFrame) -> DataFrame:
     more than moving the row; left alone where the scan already gives enough."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once per context, as a zip of its sources."""
+    context = spark.sparkContext
+    if getattr(context, "_lodespark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lodespark-"), "lodespark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("lodespark", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._lodespark_shipped = True
