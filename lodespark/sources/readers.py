@@ -49,7 +49,7 @@ def points(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(file, file_no, text)``: each file as one text, with the number in its name."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     return t.select("file", F.regexp_extract("file", r"(\d+)", 1).try_cast("int").alias("file_no"), "text")
 
 
@@ -63,7 +63,7 @@ def partitioned_names(spark: SparkSession, path: str) -> DataFrame:
 
 def watch_list(spark: SparkSession, path: str) -> DataFrame:
     """``(ticker_code, name)`` of a YAML list of two-field entries; a repeated code counts once."""
-    t = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"(?m)^\s*-\s+")).alias("e"))
+    t = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^\s*-\s+")).alias("e"))
     field = lambda k: F.trim(F.regexp_extract("e", rf"(?m)\b{k}:\s*[\"']?([^\"'\r\n]+)", 1))
     return t.select(field("ticker_code").alias("ticker_code"), field("name").alias("name")).where("ticker_code <> ''").dropDuplicates(["ticker_code"])
 
