@@ -11,9 +11,10 @@ from lodespark.session import cut
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(id, component)``: every vertex of ``edges`` with the smallest vertex of its component.
 
-    A round maps each vertex to the smallest of its closed neighbourhood and contracts the edges along
-    that map; at least every second vertex that still has an edge goes, so rounds are logarithmic and
-    get smaller. Maps and edges are cut to the shared checkpoint folder. Nulls, self loops and repeated
+    A round points each vertex to the smallest of its closed neighbourhood, doubles the pointers until
+    they end at the local minima, and contracts the edges along them. Local minima are at most half of
+    the vertices that still have an edge, so rounds, and doublings within one, are logarithmic. Maps and
+    edges are cut to the shared checkpoint folder. Nulls, self loops and repeated
     edges are allowed; a vertex seen only in self loops is its own component.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
@@ -23,6 +24,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     while len(maps) < max_rounds and not live.isEmpty():
         both = live.union(live.select("v", "u"))
         step = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("id"), "m"))
+        while True:
+            further = step.select(F.col("id").alias("m"), F.col("m").alias("next"))
+            doubled = cut(step.join(further, "m").select("id", F.col("next").alias("m"), (F.col("m") != F.col("next")).alias("moved")))
+            step = doubled.select("id", "m")
+            if doubled.where("moved").isEmpty():
+                break
         maps.append(step)
         left = step.select(F.col("id").alias("u"), F.col("m").alias("a"))
         right = step.select(F.col("id").alias("v"), F.col("m").alias("b"))
