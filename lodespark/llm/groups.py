@@ -1,13 +1,15 @@
 """Problem 6: records divided into clusters of mutually similar records, each described.
 
-Distributed k-means with parallel oversampled seeding (k-means||) gives cells. Every record is indexed
-in its nearest cell and asks all cells whose centroid is nearly as near; records at or above the
-similarity are linked block by block, each block keeps one link per record and local component, and the
-links are contracted to groups. Records without vectors can be turned into hashed weighted features.
+Distributed k-means with parallel oversampled seeding (k-means||) gives cells, packed into blocks. Every
+record meets all cells that its angle to the centroid and the cell's radius don't rule out; records at or
+above the similarity are linked block by block, each block keeps one link per record and local component,
+and the links are contracted to groups. Records without vectors can be turned into hashed weighted features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -16,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespark.llm.vectors import blocked, matrix, top_by
+from lodespark.llm.vectors import INDEX_BLOCK, QUERY_BLOCK, matrix, top_by
 from lodespark.operators.components import connected_components
 from lodespark.session import cut
 
@@ -50,12 +52,34 @@ def link_components(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, columns
 
 
-def similarity_groups(vectors: DataFrame, least: float = 0.57, rows_per_cell: int = 300, cells: int = 512, margin: float = 0.1) -> DataFrame:
+def packed_cells(sizes: np.ndarray, centres: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Blocks of each cell: neighbouring cells share one of about ``rows`` records, larger cells have several."""
+    blocks: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sizes)
+    left, at, opened, held = set(range(len(sizes))), 0, 0, 0
+    while left:  # a chain from cell to nearest cell
+        left.discard(at)
+        if held and held + sizes[at] > rows:
+            opened, held = opened + 1, 0
+        parts = max(1, -(-int(sizes[at]) // rows))
+        blocks[at] = np.arange(opened, opened + parts)
+        opened, held = opened + parts - 1, held + int(sizes[at]) if parts == 1 else rows
+        rest = np.array(sorted(left), np.int64)
+        at = int(rest[(centres[rest] @ centres[at]).argmax()]) if left else at
+    return blocks
+
+
+def similarity_groups(
+    vectors: DataFrame, least: float = 0.57, rows_per_cell: int = 300, cells: int = 512, margin: float | None = None, block_rows: int = 16_384
+) -> DataFrame:
     """``(id, group_first_id)``: every id in a group of two or more, with the smallest id of its group.
 
     Two ids are in one group if joined, directly or through others, by cosines >= ``least``. ``vectors``
-    has distinct ``id`` and unit ``v``. A record asks every cell whose centroid's cosine is at most
-    ``margin`` below that of its own cell (no cap). An empty table has no rows.
+    has distinct ``id`` and unit ``v``. Exact: a record leaves out a cell only if its angle to the centroid
+    less the cell's radius, over all rows, is above that of ``least``. Cells are packed into blocks of at
+    most ``block_rows``, and a record goes once to each pair of its block and one it may have links in, so
+    where nothing can be left out its copies are the number of blocks. An explicit ``margin`` gives up
+    exactness: only cells whose centroid's cosine is at most that much below that of the own cell are asked.
+    An empty table has no rows.
     """
     vectors = cut(vectors)
     n = vectors.count()
@@ -68,27 +92,70 @@ def similarity_groups(vectors: DataFrame, least: float = 0.57, rows_per_cell: in
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         k = len(centres)
     else:
-        centres = None
-
-    def route(v: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        if centres is None:
-            return np.zeros(len(v), np.int64), [np.zeros(1, np.int64)] * len(v)
-        s = v @ centres.T
-        return s.argmax(1), [np.flatnonzero(r >= r.max() - margin) for r in s]
-
-    def score(qid: np.ndarray, q: np.ndarray, bid: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        if not len(qid) or not len(bid):
-            return pd.DataFrame({"src": pd.Series(dtype=object), "dst": pd.Series(dtype=object)})
-        linked = q @ b.T >= least
-        linked &= qid[:, None] != bid[None, :]
-        rows, columns = link_components(linked)
-        label = np.concatenate([rows, columns])
-        ids = np.concatenate([qid, bid])[label >= 0]
-        members = pd.DataFrame({"src": ids, "l": label[label >= 0]})
-        members["dst"] = members.groupby("l")["src"].transform("min") if len(members) else members["src"]
-        return members.loc[members["src"] != members["dst"], ["src", "dst"]].drop_duplicates()
-
-    links = blocked(vectors, route, max(k, 1), score, f"src {kind}, dst {kind}")
+        centres = np.zeros((1, 1))
+
+    def cosines(v: np.ndarray) -> np.ndarray:
+        return np.clip(v @ centres.T, -1, 1) if k > 1 else np.zeros((len(v), 1))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes, radius = np.zeros(k, np.int64), np.zeros(k)
+        for b in batches:
+            if len(b):
+                s = cosines(matrix(b["v"]))
+                home = s.argmax(1)
+                sizes += np.bincount(home, minlength=k)
+                np.maximum.at(radius, home, np.arccos(s[np.arange(len(s)), home]))
+        yield pd.DataFrame({"cell": np.arange(k), "n": sizes, "r": radius})
+
+    # bounded: one row per cell reaches the driver
+    sizes, radius = np.zeros(k, np.int64), np.zeros(k)
+    for r in vectors.select("v").mapInPandas(measure, "cell int, n bigint, r double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("r").alias("r")).collect():
+        sizes[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+    blocks = packed_cells(sizes, centres, max(1, min(block_rows, max(2048, -(-n // 4)))))
+    count = max(int(b[-1]) for b in blocks) + 1
+    holds = np.zeros((k, count), np.float32)
+    for c, b in enumerate(blocks):
+        holds[c, b] = sizes[c] > 0
+    reach = np.arccos(least) + radius + 1e-6  # the last for rounding
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            s = cosines(matrix(b["v"]))
+            home = s.argmax(1)
+            asked = np.arccos(s) <= reach if margin is None else s >= s.max(1, keepdims=True) - margin
+            part = pd.util.hash_array(b["id"].to_numpy(dtype=object)) >> np.uint64(3)
+            own = np.array([blocks[c][int(x % np.uint64(len(blocks[c])))] for c, x in zip(home, part)])
+            to = asked.astype(np.float32) @ holds > 0
+            to[np.arange(len(own)), own] = True
+            pairs = [[[min(o, j), max(o, j), int(o > j)] for j in np.flatnonzero(t).tolist()] for o, t in zip(own.tolist(), to)]
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "pairs": pairs})
+
+    def link(held: pd.DataFrame) -> pd.DataFrame:
+        left = held["right"].to_numpy() == 0
+        inner = held["i"].iloc[0] == held["j"].iloc[0]
+        ids, v = held["id"].to_numpy(), matrix(held["v"])
+        qid, q = ids[left], v[left]
+        bid, b = (qid, q) if inner else (ids[~left], v[~left])
+        out = [pd.DataFrame({"src": pd.Series(dtype=object), "dst": pd.Series(dtype=object)})]
+        for x in range(0, len(qid), QUERY_BLOCK):
+            for y in range(0, len(bid), INDEX_BLOCK):
+                if inner and y + INDEX_BLOCK <= x:
+                    continue  # met from the other side
+                linked = q[x : x + QUERY_BLOCK] @ b[y : y + INDEX_BLOCK].T >= least
+                linked &= qid[x : x + QUERY_BLOCK, None] != bid[None, y : y + INDEX_BLOCK]
+                label = np.concatenate(link_components(linked))
+                near = np.concatenate([qid[x : x + QUERY_BLOCK], bid[y : y + INDEX_BLOCK]])[label >= 0]
+                if len(near):
+                    members = pd.DataFrame({"src": near, "l": label[label >= 0]})
+                    members["dst"] = members.groupby("l")["src"].transform("min")
+                    out.append(members.loc[members["src"] != members["dst"], ["src", "dst"]])
+        return pd.concat(out).drop_duplicates()
+
+    sent = vectors.select("id", "v").mapInPandas(send, f"id {kind}, v array<double>, pairs array<array<int>>")
+    sent = sent.select("id", "v", F.explode("pairs").alias("p")).select("id", "v", *[F.col("p")[x].alias(c) for x, c in enumerate(("i", "j", "right"))])
+    links = cut(sent.groupBy("i", "j").applyInPandas(link, f"src {kind}, dst {kind}"))
     return connected_components(links).select("id", F.col("component").alias("group_first_id"))
 
 

@@ -146,6 +146,25 @@ def test_groups_against_brute_force(spark, clustered):
         assert wrong <= (0.02 * len(i) if options else 0)
 
 
+def test_groups_are_exact_by_default(spark, clustered):
+    """Overlapping groups, and chains of single links just above the threshold, in one block and in many small ones."""
+    ids, rows = clustered
+    rng = np.random.default_rng(6)
+    chains = []
+    for start in unit(rng.normal(size=(40, 48))):
+        for _ in range(12):
+            chains.append(start)
+            off = rng.normal(size=48)
+            off = unit((off - off @ start * start)[None])[0]
+            start = 0.58 * start + (1 - 0.58**2) ** 0.5 * off
+    chains = unit(np.array(chains))
+    for i, r in ((ids, rows), (ids[: len(chains)], chains)):
+        want = brute_groups(i, r)
+        for options in ({}, {"block_rows": 100}):
+            got = groups.similarity_groups(frame(spark, i, r), rows_per_cell=20, **options).collect()
+            assert {x["id"]: x["group_first_id"] for x in got} == want and len(got) == len(want)
+
+
 def test_unit_vectors(spark):
     good = [3.0, 4.0]
     rows = [("a", json.dumps(good)), ("a", json.dumps(good)), ("b", "[0, 0]"), ("c", "[1]"), ("d", "[1, NaN]"), ("e", None), ("f", "null"), ("g", "bad"), (None, "[1, 1]"), ("h", "[1e300, 1e300]"), ("i", "[1, null]")]
