@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.session import cut
 
 
+def _squares(centres: list[list[float]]) -> Column:
+    c = F.array(*[F.array(*[F.lit(float(v)) for v in centre]) for centre in centres])
+    return F.transform(c, lambda m: F.aggregate(F.zip_with("x", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+
+
+def _place(distances: str) -> Column:
+    return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
+
+
 def nearest(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """``points (id, x)`` with ``cluster`` and squared ``distance`` to the nearest of a bounded list of centres; ties lowest."""
-    c = F.array(*[F.array(*[F.lit(float(v)) for v in centre]) for centre in centres])
-    d2 = F.transform(c, lambda m: F.aggregate(F.zip_with("x", m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    d = points.withColumn("_d", d2)
-    return d.select("id", "x", (F.array_position("_d", F.array_min("_d")) - 1).cast("int").alias("cluster"), F.array_min("_d").alias("distance"))
+    d = points.withColumn("_d", _squares(centres))
+    return d.select("id", "x", _place("_d").alias("cluster"), F.array_min("_d").alias("distance"))
 
 
 def cluster_stats(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -30,16 +38,21 @@ def cluster_stats(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
     return held.select(cluster, "n", F.transform("p", lambda p: p["s"]).alias("sum"), F.transform("p", lambda p: p["q"]).alias("sumsq"))
 
 
-def lloyd(points: DataFrame, centres: list[list[float]], rounds: int = 10) -> tuple[DataFrame, list[list[float]]]:
-    """Lloyd iterations from given centres; an empty cluster keeps its centre. Stops when no centre moves."""
+def lloyd(points: DataFrame, centres: list[list[float]], rounds: int = 100) -> tuple[DataFrame, list[list[float]]]:
+    """Lloyd iterations from given centres until no label changes; an empty cluster keeps its centre.
+
+    At most ``rounds``; where labels still change after them, a warning says so.
+    """
     for _ in range(rounds):
         stats = cluster_stats(nearest(points, centres)).collect()  # one row per centre
-        moved = list(centres)
+        before, centres = centres, list(centres)
         for r in stats:
-            moved[r["cluster"]] = [v / r["n"] for v in r["sum"]]
-        if np.allclose(moved, centres, rtol=0, atol=1e-12):
+            centres[r["cluster"]] = [v / r["n"] for v in r["sum"]]
+        both = points.select(_squares(before).alias("_a"), _squares(centres).alias("_b"))
+        if both.where(_place("_a") != _place("_b")).isEmpty():
             break
-        centres = moved
+    else:
+        warnings.warn(f"Lloyd iterations: labels still change after {rounds} rounds", stacklevel=2)
     return nearest(points, centres), centres
 
 

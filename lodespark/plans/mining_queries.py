@@ -169,10 +169,10 @@ def q_lloyd_step(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_lloyd(s: SparkSession, d: str) -> DataFrame:
-    """Lloyd iterations to the end, sizes."""
+    """Lloyd iterations until no label changes, at most 100, sizes."""
     p = cut(_points(s, d))
     first = [r["x"] for r in p.orderBy("id").limit(10).collect()]
-    return C.lloyd(p, first, 10)[0].groupBy("cluster").agg(F.count("*").alias("n"))
+    return C.lloyd(p, first)[0].groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def q_bfr(s: SparkSession, d: str) -> DataFrame:

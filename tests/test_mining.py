@@ -144,6 +144,23 @@ def test_statistics_merge(spark):
     assert centres[2] == [99.0, 99.0]
 
 
+def test_lloyd_runs_until_no_label_changes(spark):
+    pts = np.random.default_rng(1).normal(size=(600, 3))
+    centres, label, rounds = pts[:8].copy(), None, 0
+    while True:
+        fresh = ((pts[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        if label is not None and (fresh == label).all():
+            break
+        label, rounds = fresh, rounds + 1
+        centres = np.array([pts[label == c].mean(0) if (label == c).any() else centres[c] for c in range(8)])
+    assert rounds > 10
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id bigint, x array<double>").localCheckpoint()
+    got = clustering.lloyd(df, [[float(v) for v in p] for p in pts[:8]])[0].collect()
+    assert [r["cluster"] for r in sorted(got, key=lambda r: r["id"])] == label.tolist()
+    with pytest.warns(UserWarning, match="still change"):
+        clustering.lloyd(df, [[float(v) for v in p] for p in pts[:8]], 2)
+
+
 def test_sketches(spark):
     rng = random.Random(9)
     rows = [(b, rng.randrange(4000)) for b in range(6) for _ in range(300)] + [(2, None), (None, 3)]
