@@ -27,6 +27,8 @@ _SEPARATED = re.compile(r"\S\s*(?:\||·|›|»|\s/\s|\s>\s)\s*\S|\S {2,}\S")
 _CRUMB = re.compile(r"\S\s+[>›»]\s+\S")
 #: Documented bound of the fit of the word model: nodes per class.
 SAMPLE_NODES = 20_000
+#: Keys from this length on are counted by a hash of 128 bits.
+LONG_KEY = 200
 
 
 def site_of(host: str) -> str:
@@ -172,7 +174,7 @@ def main_body(posts: DataFrame, least_pages: int = 4) -> DataFrame:
 
     ``posts`` has ``id, title, url, content``. A post counts once: of several rows with content the one
     with the largest content text counts. Null ids, null or blank contents and error pages have no rows;
-    a null title or url is an empty one. Statistics are over all pages; with few pages per host the word
+    a null title or url is an empty one. Statistics are over all blocks of all pages; with few pages per host the word
     model and the page's own structure decide.
     """
     pages = posts.where(F.col("id").isNotNull() & F.col("content").isNotNull() & (F.trim("content") != ""))
@@ -192,7 +194,10 @@ def main_body(posts: DataFrame, least_pages: int = 4) -> DataFrame:
                     rows += [(i, h, n, k) for k in keys]
             yield pd.DataFrame(rows, columns=["id", "host", "line_no", "key"])
 
-    found = cut(spread(pages).mapInPandas(nodes, f"id {kind}, host string, line_no int, key string"))
+    texts = cut(spread(pages).mapInPandas(nodes, f"id {kind}, host string, line_no int, key string"))
+    is_long = F.length("key") >= LONG_KEY
+    node = F.when(is_long, F.concat(F.lit("~"), F.md5("key"))).otherwise(F.col("key"))
+    found = texts.withColumns({"key": node, "long": is_long})
     # bounded: hosts by power of their share, and the titles' words
     by_host = pages.groupBy("host").agg(F.count("*").alias("m"))
     sizes = by_host.groupBy(F.round(F.log("m") * 4).alias("bin")).agg(F.avg("m").alias("m"), F.count("*").alias("hosts")).collect()
@@ -203,9 +208,8 @@ def main_body(posts: DataFrame, least_pages: int = 4) -> DataFrame:
     )
     titles = frozenset(r["w"] for r in vocabulary.collect())
 
-    per_host = found.select("host", "key", "id").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
-    per_host = cut(per_host.where("n > 1 or length(key) < 200"))
-    spread_over = per_host.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("h")).where(f"n >= {least_pages}")
+    per_host = cut(found.select("host", "key", "long", "id").distinct().groupBy("host", "key", "long").agg(F.count("*").alias("n")))
+    spread_over = per_host.groupBy("key", "long").agg(F.sum("n").alias("n"), F.count("*").alias("h")).where(f"n >= {least_pages}")
 
     expected = F.lit(0.0)
     for share, hosts in sizes:
@@ -236,9 +240,17 @@ def main_body(posts: DataFrame, least_pages: int = 4) -> DataFrame:
     evidence = evidence.groupBy("id").agg(F.collect_list(F.struct("line_no", "a", "w")).alias("evidence"))
 
     hashed = F.xxhash64("key")
-    boiler = spread_over.where("across > 0.9 and key not like '^%'").orderBy(hashed).limit(SAMPLE_NODES).select("key").toPandas()["key"].tolist()
-    lone = per_host.where((F.col("n") == 1) & (F.size(F.split("key", " ")) >= 12) & ~F.col("key").rlike("#|^\\^"))
-    even = spread_over.where("across < -0.5").orderBy(hashed).limit(SAMPLE_NODES).select("key").toPandas()["key"].tolist()
+
+    def sampled(held: DataFrame) -> list[str]:
+        """The texts of a bounded sample of nodes; those of hashed ones are read back."""
+        held = cut(held.orderBy(hashed).limit(SAMPLE_NODES).select("key", "long"))
+        long = texts.where(is_long).select(node.alias("key"), F.col("key").alias("text")).join(F.broadcast(held.where("long").select("key")), "key")
+        text = long.groupBy("key").agg(F.min("text").alias("text")).select("text")
+        return held.where("not long").select("key").union(text).toPandas()["key"].tolist()
+
+    boiler = sampled(spread_over.where("across > 0.9 and key not like '^%'"))
+    lone = per_host.where((F.col("n") == 1) & ~F.col("long") & (F.size(F.split("key", " ")) >= 12) & ~F.col("key").rlike("#|^\\^"))
+    even = sampled(spread_over.where("across < -0.5"))
     content = lone.orderBy(hashed).limit(SAMPLE_NODES).select("key").toPandas()["key"].tolist()
     model = WordModel(boiler, content + even * max(1, len(content) // (20 * max(1, len(even)))))
 

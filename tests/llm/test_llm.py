@@ -185,3 +185,22 @@ def test_main_body(spark):
         got.setdefault(r["id"], []).append(r["line_no"])
     assert not {"e", "n", None, "x"} & set(got)
     assert all(sorted(v) == [2, 4, 5] for v in got.values()) and len(got) == 72
+
+
+def test_long_blocks_are_counted_like_short_ones(spark):
+    """A block that one host repeats and fifty others hold once is judged by all its hosts, whatever its length."""
+    short = "nobody shall be held liable for whatever follows from reading this or from copying it elsewhere without having asked the publisher beforehand"
+    long = short + " and nobody else may claim that an answer to such a request was given by word of mouth alone"
+    assert len(short) < 200 < len(long)
+    got = []
+    for notice in (short, long):
+        rng = random.Random(2)
+        rows = []
+        for h in range(60):
+            for p in range(6):
+                body = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(20)) + "." for _ in range(3)]
+                if h == 0 or h <= 50 and p == 0:
+                    body.insert(1, notice + ".")
+                rows.append((f"{h}-{p}", f"title of {h} {p}", f"https://site{h}.example/{p}", "\n".join(body)))
+        got.append({tuple(r) for r in main_body(spark.createDataFrame(rows, "id string, title string, url string, content string")).collect()})
+    assert got[0] == got[1] and all((f"0-{p}", 2) in got[1] for p in range(6))
