@@ -105,11 +105,11 @@ class WordModel:
         return sum(terms) / (1 + 0.5 * len(terms)) if terms else 0.0
 
 
-def judge_page(host: str, title: str, content: str, evidence: dict[int, tuple[float, float]], model: WordModel, titles: frozenset[str]) -> list[int]:
+def judge_page(host: str, title: str, content: str, evidence: dict[int, tuple[float, float]], model: WordModel, headlines: set[int]) -> list[int]:
     """Line numbers of the main body.
 
     ``evidence`` has, for lines with statistics, what is known across hosts and within the host; above 0
-    speaks for boilerplate, below 0 for content.
+    speaks for boilerplate, below 0 for content. ``headlines`` are the lines made of words of titles.
     """
     site = site_of(host)
     head = " ".join(words_of(title, site))
@@ -133,13 +133,11 @@ def judge_page(host: str, title: str, content: str, evidence: dict[int, tuple[fl
             across, mixed, score = 0.0, False, bayes
         if "@" in words and len(words) <= 16:
             score += 0.6
-        lead = next((i for i, w in enumerate(words) if w in titles), 0)
-        foreign = 4 <= len(words) - lead <= 14 and lead <= 2 and all(w in titles for w in words[lead:])
         if head and not seen_head and (key == head or (len(words) >= 3 and head.startswith(key) and len(key) > 0.8 * len(head))):
             seen_head, verdict = True, 2
         elif raw and (_CRUMB.search(line) or _SEPARATED.search(line) and not sentence):
             verdict = -1
-        elif foreign and not marked and not (raw and line.rstrip().endswith(".")):
+        elif n in headlines and not marked and not (raw and line.rstrip().endswith(".")):
             verdict = -1  # reads like a headline, but not this page's
         elif len(words) >= 9:
             verdict = -1 if score > (0.7 if n in evidence and len(words) <= 16 else 1.1) else 1
@@ -198,15 +196,22 @@ def main_body(posts: DataFrame, least_pages: int = 4) -> DataFrame:
     is_long = F.length("key") >= LONG_KEY
     node = F.when(is_long, F.concat(F.lit("~"), F.md5("key"))).otherwise(F.col("key"))
     found = texts.withColumns({"key": node, "long": is_long})
-    # bounded: hosts by power of their share, and the titles' words
+    # bounded: hosts by power of their share
     by_host = pages.groupBy("host").agg(F.count("*").alias("m"))
     sizes = by_host.groupBy(F.round(F.log("m") * 4).alias("bin")).agg(F.avg("m").alias("m"), F.count("*").alias("hosts")).collect()
     sizes = [(r["m"] / total, r["hosts"]) for r in sizes]
-    vocabulary = (
-        pages.select("id", F.explode(F.array_distinct(F.split(F.lower("title"), r"[\W_]+"))).alias("w"))
-        .groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") > max(1, total // 20_000)) & (F.col("w") != "")).orderBy(F.desc("n"), "w").limit(50_000)
+    # words of two titles or more, whatever the number of pages; a line reads like a headline if it has 4 to 14
+    # words and all are such, but for up to two before the first
+    title_words = cut(
+        pages.select("id", F.explode(F.array_distinct(F.split(F.lower("title"), r"(?U)[\W_]+"))).alias("w"))
+        .where(r"w <> '' and not w rlike '(?U)\\d'").groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
     )
-    titles = frozenset(r["w"] for r in vocabulary.collect())
+    words = F.split("key", " ")
+    lines = found.where(~F.col("long") & F.size(words).between(4, 16) & ~F.col("key").rlike("#|^\\^")).select("key").distinct()
+    known = lines.select("key", F.size(words).alias("size"), F.posexplode(words).alias("at", "w"))
+    known = known.join(F.broadcast(title_words) if title_words.count() < 100_000 else title_words, "w")
+    headlines = known.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("lead"), F.first("size").alias("size"))
+    headlines = headlines.where("lead <= 2 and n = size - lead and n between 4 and 14").select("key", F.lit(True).alias("foreign"))
 
     per_host = cut(found.select("host", "key", "long", "id").distinct().groupBy("host", "key", "long").agg(F.count("*").alias("n")))
     spread_over = per_host.groupBy("key", "long").agg(F.sum("n").alias("n"), F.count("*").alias("h")).where(f"n >= {least_pages}")
@@ -225,10 +230,10 @@ def main_body(posts: DataFrame, least_pages: int = 4) -> DataFrame:
     entropy = F.try_divide(F.log("n"), F.log("m"))  # 1 less this is the node's importance in its host
     inside = inside.where("m >= 5 and key not like '^%'").select("host", "key", F.greatest(F.lit(0.0), (entropy - 0.55) * 4).alias("within"))
     evidence = (
-        found.join(spread_over.select("key", "across"), "key", "left").join(inside, ["host", "key"], "left")
-        .where("across is not null or within is not null")
+        found.join(spread_over.select("key", "across"), "key", "left").join(headlines, "key", "left").join(inside, ["host", "key"], "left")
+        .where("across is not null or within is not null or foreign")
         .groupBy("id", "line_no")
-        .agg(F.max("across").alias("hi"), F.min("across").alias("lo"), F.max("within").alias("within"))
+        .agg(F.max("across").alias("hi"), F.min("across").alias("lo"), F.max("within").alias("within"), F.max("foreign").alias("foreign"))
     )
     # a node that clearly lies evenly over the hosts keeps that credit, whatever its opening or its host say
     evidence = evidence.select(
@@ -236,8 +241,10 @@ def main_body(posts: DataFrame, least_pages: int = 4) -> DataFrame:
         "line_no",
         F.round(F.when((F.col("lo") < -0.8) | (F.col("lo") < -0.2) & ~(F.coalesce("hi", F.lit(0.0)) > 0.6), F.col("lo")).otherwise(F.coalesce("hi", F.lit(0.0))), 3).alias("a"),
         F.round(F.coalesce("within", F.lit(0.0)), 3).alias("w"),
+        F.coalesce("foreign", F.lit(False)).alias("foreign"),
+        F.expr("hi is not null or within is not null").alias("counted"),
     )
-    evidence = evidence.groupBy("id").agg(F.collect_list(F.struct("line_no", "a", "w")).alias("evidence"))
+    evidence = evidence.groupBy("id").agg(F.collect_list(F.struct("line_no", "a", "w", "foreign", "counted")).alias("evidence"))
 
     hashed = F.xxhash64("key")
 
@@ -258,8 +265,9 @@ def main_body(posts: DataFrame, least_pages: int = 4) -> DataFrame:
         for b in batches:
             rows = []
             for i, h, t, c, e in zip(b["id"], b["host"], b["title"], b["content"], b["evidence"]):
-                held = {x["line_no"]: (x["a"], x["w"]) for x in e} if e is not None else {}
-                rows += [(i, n) for n in judge_page(h, t, c, held, model, titles)]
+                e = e if e is not None else []
+                held = {x["line_no"]: (x["a"], x["w"]) for x in e if x["counted"]}
+                rows += [(i, n) for n in judge_page(h, t, c, held, model, {x["line_no"] for x in e if x["foreign"]})]
             yield pd.DataFrame(rows, columns=["id", "line_no"])
 
     judged = pages.join(evidence, "id", "left")

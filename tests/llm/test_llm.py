@@ -204,3 +204,16 @@ def test_long_blocks_are_counted_like_short_ones(spark):
                 rows.append((f"{h}-{p}", f"title of {h} {p}", f"https://site{h}.example/{p}", "\n".join(body)))
         got.append({tuple(r) for r in main_body(spark.createDataFrame(rows, "id string, title string, url string, content string")).collect()})
     assert got[0] == got[1] and all((f"0-{p}", 2) in got[1] for p in range(6))
+
+
+def test_headlines_with_rare_words(spark):
+    """Another page's headline is found although its words stand in few of more than 40,000 titles."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rare = "zorvik plaudet quimra ostrel bendux"
+    story = [" ".join(word() for _ in range(20)) + "." for _ in range(3)]
+    rows = [("p", "own title here", "https://one.example/p", "\n".join([story[0], rare.title(), story[1], story[2]]))]
+    rows += [(f"r{i}", rare, f"https://r{i}.example/", "x") for i in range(2)]
+    rows += [(f"f{i}", f"{word()} {word()}", f"https://f{i % 50}.example/{i}", "x") for i in range(41_000)]
+    got = main_body(spark.createDataFrame(rows, "id string, title string, url string, content string")).where("id = 'p'")
+    assert sorted(r["line_no"] for r in got.collect()) == [1, 3, 4]
