@@ -121,6 +121,14 @@ def test_betweenness_and_communities(spark):
     assert ids == {"a": 0, "b": 1, "c": 2}
 
 
+def test_bench_refuses_an_empty_graph(spark):
+    import bench
+
+    edges = lambda rows: {"q_label_propagation": None, "q_graph_edges": lambda s, d: s.createDataFrame(rows, "src int, dst int")}
+    assert bench.starved(edges([]), spark, "") == ["q_label_propagation"]
+    assert bench.starved(edges([(1, 2)]), spark, "") == []
+
+
 def test_bfr_counts_and_outliers(spark):
     rng = np.random.default_rng(0)
     pts = np.vstack([rng.normal(c, 0.3, (61, 2)) for c in ((0, 0), (20, 0), (0, 20))] + [np.array([[200.0, 200.0], [-300.0, 5.0]])])
