@@ -1,5 +1,6 @@
 """Mining operators against brute force, hand-made cases and their properties."""
 
+import inspect
 import itertools
 import math
 import random
@@ -121,6 +122,20 @@ def test_betweenness_and_communities(spark):
     assert ids == {"a": 0, "b": 1, "c": 2}
 
 
+def test_removal_goes_on_until_no_edge_is_left(spark, monkeypatch):
+    """The distributed loop has no bound of its own, and says so where a given one ends it."""
+    left = []
+    between = graph.betweenness
+    monkeypatch.setattr(graph, "betweenness", lambda e: left.append(e.count()) or between(e))
+    e = as_edges(spark, [(0, 1), (1, 2), (2, 3)])
+    whole = {(r["id"], r["community"]) for r in graph.communities_by_removal(e).collect()}
+    assert {(r["id"], r["community"]) for r in graph.communities_by_removal(e, in_memory_edges=1).collect()} == whole
+    assert left == [3, 2]
+    assert inspect.signature(graph.communities_by_removal).parameters["max_rounds"].default is None
+    with pytest.warns(UserWarning, match="edges are left"):
+        graph.communities_by_removal(e, in_memory_edges=1, max_rounds=1)
+
+
 def test_bench_refuses_an_empty_graph(spark):
     import bench
 
