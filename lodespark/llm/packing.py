@@ -70,8 +70,8 @@ def pack_texts(
     """``(container, key, piece_no, first_token, tokens)``: every text in a container, whole if it fits.
 
     A text above ``capacity`` tokens is cut into full pieces and a rest; only then has it more than one
-    piece. Null and empty texts have 0 tokens and take a document place. ``max_cost`` (by default
-    ``capacity`` squared) bounds the sum of squared lengths. Repeated rows, and rows with a null key,
+    piece. Null and empty texts have 0 tokens and take a document place. ``max_cost`` bounds the sum of squared lengths of
+    containers with several items; its default, ``capacity`` squared, never binds. Repeated rows, and rows with a null key,
     are items of their own. An empty table has no containers.
     """
     groups = max(1, -(-df.count() // group_rows))

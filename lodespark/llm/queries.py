@@ -19,6 +19,8 @@ from lodespark.session import cut, table
 #: Folder of the public vocabularies, the same on every worker.
 TOKENIZERS = os.environ.get("LODESPARK_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+#: Tokens of a container, and the attention cost of several texts in one: that of two of half its size.
+CAPACITY, MOST_COST = 4096, 4096**2 // 2
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +57,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_packed(spark: SparkSession, d: str) -> DataFrame:
-    return pack_texts(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE)
+    return pack_texts(table(spark, d, "documents"), "doc_id", "text", BYTE_BPE, capacity=CAPACITY, max_cost=MOST_COST)
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:

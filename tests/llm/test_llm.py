@@ -10,7 +10,7 @@ import pytest
 
 from lodespark.llm import bpe, groups, packing, similar, splitting, vectors
 from lodespark.llm.boilerplate import main_body
-from lodespark.llm.queries import BYTE_BPE
+from lodespark.llm.queries import BYTE_BPE, p9_packed
 
 needs_files = pytest.mark.skipif(not os.path.exists(BYTE_BPE), reason="no tokenizer files here")
 
@@ -79,6 +79,17 @@ def test_packing_whole_texts(spark):
     assert len(got[got.doc_id.isin(range(200)) & (got.doc_id != 3)]) == 199 and len(got[got.doc_id == 3]) == 2
 
 
+@needs_files
+def test_packed_query_binds_the_cost(spark, tmp_path):
+    """One text of 3,000 tokens and small ones: by tokens they share a container, by cost they don't."""
+    rows = [(1, "word " * 2999 + "word"), *[(i, "word " * 99 + "word") for i in range(2, 12)]]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = p9_packed(spark, str(tmp_path)).toPandas()
+    cost = (got.tokens**2).groupby(got.container).sum()
+    size = got.groupby("container").size()
+    assert len(got) == 11 and sorted(size) == [1, 10] and (cost[size > 1] <= 4096**2 // 2).all()
+
+
 @needs_files
 def test_cutting_round_trip():
     e = bpe.encoder(BYTE_BPE)
