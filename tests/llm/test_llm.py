@@ -133,6 +133,27 @@ def test_most_similar_recall(spark, clustered):
     assert similar.most_similar(frame(spark, ids, rows).limit(0)).count() == 0
 
 
+def test_asked_partitions_hold_the_mass():
+    logits = np.log([[0.94, 0.06], [0.998, 0.002]])
+    assert [p.tolist() for p in similar.probable(np.eye(2), logits, 0.995)] == [[0, 1], [0]]
+
+
+def test_most_similar_recall_from_a_small_sample(spark, monkeypatch):
+    """Cosines on both sides of the threshold, and a router fitted on four in a hundred rows."""
+    monkeypatch.setattr(similar, "SAMPLE", 240)
+    rng = np.random.default_rng(8)
+    centres = unit(rng.normal(size=(100, 64)))
+    rows = unit(centres[rng.integers(0, 100, 6000)] + rng.normal(size=(6000, 64)) * 0.108)
+    ids = [f"i{k:04}" for k in range(len(rows))]
+    s = rows @ rows.T
+    np.fill_diagonal(s, -2)
+    best = np.argpartition(-s, 5, axis=1)[:, :5]
+    want = {(ids[i], ids[j]) for i in range(len(ids)) for j in best[i] if s[i, j] >= 0.57}
+    got = {(r["id"], r["other"]) for r in similar.most_similar(frame(spark, ids, rows)).collect()}
+    print("recall", len(want & got) / len(want), len(want))
+    assert len(want & got) / len(want) >= 0.9
+
+
 def brute_groups(ids, rows):
     near = rows @ rows.T >= 0.57
     label = np.arange(len(ids))
