@@ -15,13 +15,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     they end at the local minima, and contracts the edges along them. Local minima are at most half of
     the vertices that still have an edge, so rounds, and doublings within one, are logarithmic. Maps and
     edges are cut to the shared checkpoint folder. Nulls, self loops and repeated
-    edges are allowed; a vertex seen only in self loops is its own component.
+    edges are allowed; a vertex seen only in self loops is its own component. Rounds go on until no edge
+    is left; ``max_rounds`` halvings are enough for any table, and beyond them an error is raised.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     vertices = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
     live = cut(e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     maps = []
-    while len(maps) < max_rounds and not live.isEmpty():
+    while not live.isEmpty():
+        if len(maps) == max_rounds:
+            raise RuntimeError(f"components: edges are left after {max_rounds} rounds")
         both = live.union(live.select("v", "u"))
         step = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("id"), "m"))
         while True:
