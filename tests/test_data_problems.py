@@ -4,10 +4,11 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodespark.operators.near_regions import EARTH_M, great_circle_m, locate, near_and_inside
+from lodespark.operators.near_regions import EARTH_M, Trapezoids, great_circle_m, locate, near_and_inside
 from lodespark.operators.packed_values import unpack_values
 from lodespark.operators.regular_grid import regular_grid
 from lodespark.operators.unit_harmony import fit_unit_model, harmonise_volumes, parsed_volumes
@@ -121,11 +122,37 @@ def test_locations_against_brute_force(spark, block):
     regions = [(f"r{i}", 45 + rng.random() * 0.05, -101 + rng.random() * 0.05, rng.random() * 3000) for i in range(40)] + [("rw", 10.0, 180.0, 200.0), ("rp", 90.0, 0.0, 500.0)]
     p = spark.createDataFrame(pts, "key string, lat double, lon double")
     r = spark.createDataFrame(regions, "key string, lat double, lon double, r_m double")
-    got = {(x["point"], x["region"]) for x in locate(p, r, 0.02, 0.5, block).collect()}
+    got = {(x["point"], x["region"]) for x in locate(p, r, block).collect()}
     want = {(a, b) for a, y, x in pts for b, v, u, m in regions if great_circle_m(y, x, v, u) <= m}
     assert got == want and ("w1", "rw") in got and ("pole2", "rp") in got
 
 
+def test_trapezoids_at_every_latitude():
+    """Circles of all sizes anywhere, poles and the antimeridian's shift apart, against the distance."""
+    rng = np.random.default_rng(5)
+    lat, lon = rng.uniform(-85, 85, 400), rng.uniform(-170, 170, 400)
+    r = 10 ** rng.uniform(0, 5.2, 400)
+    near = rng.integers(0, 400, 6000)
+    y = np.clip(lat[near] + rng.normal(size=6000) * np.degrees(r[near] / EARTH_M) * 0.7, -90, 90)
+    x = lon[near] + rng.normal(size=6000) * np.degrees(r[near] / EARTH_M) * 0.7 / np.cos(np.radians(lat[near]))
+    piece, own = np.concatenate([np.arange(300) % 3, np.arange(100) // 2 + 3]), rng.integers(0, 53, 6000)
+    own[::2] = piece[near[::2]]
+    i, e = Trapezoids(piece, lat, lon, r, np.zeros(400, bool)).locate(own, y, x)
+    want = (great_circle_m(y[:, None], x[:, None], lat[None], lon[None]) <= r[None]) & (own[:, None] == piece[None])
+    assert want.sum() > 1000 and sorted(zip(i, e)) == sorted(zip(*np.nonzero(want)))
+
+
+def test_a_large_region_does_not_widen_the_search(spark):
+    """One circle of 60 km among 2,000 of 300 m is in a grid of its own: few edges are looked at, and nothing is lost."""
+    rng = random.Random(7)
+    pts = [(f"p{i}", 45 + rng.random(), -101 + rng.random()) for i in range(1500)]
+    small = [(f"s{i}", 45 + rng.random(), -101 + rng.random(), 300.0) for i in range(2000)]
+    p = spark.createDataFrame(pts, "key string, lat double, lon double")
+    r = spark.createDataFrame([*small, ("big", 45.5, -100.5, 60_000.0)], "key string, lat double, lon double, r_m double")
+    got = {(x["point"], x["region"]) for x in locate(p, r).collect()}
+    assert got == {(a, b) for a, y, x in pts for b, v, u, m in [*small, ("big", 45.5, -100.5, 60_000.0)] if great_circle_m(y, x, v, u) <= m}
+
+
 def test_near_and_inside_defined_cases(spark):
     step = math.degrees(400.0 / EARTH_M)
     wells = [("b", 45.0, -100.0), ("a", 45.0 + step * 0.999, -100.0), ("c", 45.0 - step * 1.001, -100.0), ("b", 45.0, -100.0), ("n", None, -100.0), ("z", 0.0, 0.0), ("z2", 0.0, 0.0), ("far", 91.0, 1.0), ("nan", math.nan, 1.0), (None, 45.0, -100.0)]
