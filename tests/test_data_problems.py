@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodespark.operators.near_regions import EARTH_M, Trapezoids, great_circle_m, locate, near_and_inside
 from lodespark.operators.packed_values import unpack_values
 from lodespark.operators.regular_grid import regular_grid
-from lodespark.operators.unit_harmony import fit_unit_model, harmonise_volumes, parsed_volumes
+from lodespark.operators.unit_harmony import fit_unit_model, harmonise_volumes, parsed_volumes, unit_model_quality
 
 TREATMENT = "treatment_id bigint, file_id string, volume double, volume_units string, type_treatment string, lbs_proppant double, maximum_treatment_pressure_psi double, maximum_treatment_rate_bbls_per_min double, stage string"
 RAW = "id bigint, volume string, type_treatment string, lbs string, psi string, max_treatment_rate string, source_table string"
@@ -66,6 +66,16 @@ def test_unit_model_held_out(spark):
     assert right >= 76  # held-out accuracy of 0.95 and more
 
 
+def test_quality_on_hidden_units(spark):
+    """Two units whose magnitudes overlap: what reaches the confidence is right, the rest is left to review."""
+    rng = random.Random(4)
+    rows = [(float(rng.randint(10_000, 90_000)), "bbl") for _ in range(600)] + [(float(rng.randint(60_000, 900_000)), "gal") for _ in range(600)]
+    q = unit_model_quality(treatments(spark, rows), raw(spark, [])).collect()
+    assert len(q) == 1 and q[0]["source_table"] == "well_treatments" and 60 < q[0]["hidden"] < 200
+    assert q[0]["accuracy"] >= 0.9 and 0.5 < q[0]["coverage"] <= 1 and q[0]["calibration_error"] <= 0.15
+    assert unit_model_quality(treatments(spark, []), raw(spark, [])).count() == 0
+
+
 PACKED = {
     "10,996 21,840 50": ["10,996", "21,840", "50"],
     "[6748, 16252, 26, 10455]": ["6748", "16252", "26", "10455"],
