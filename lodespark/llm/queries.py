@@ -29,7 +29,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_similar(spark: SparkSession, d: str) -> DataFrame:
     """The up to five most similar posts of every post, with their cosines."""
-    return most_similar(_vectors(spark, d))
+    return most_similar(_vectors(spark, d)).withColumn("cosine", F.round("cosine", 9))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +75,9 @@ ORACLES: dict[str, str] = {
         with {_UNIT},
         best as (select a, b from pairs qualify row_number() over (partition by a order by c desc, b desc) <= 5)
         select distinct least(a, b) as id_a, greatest(a, b) as id_b from best""",
+    "p4_similar": f"""
+        with {_UNIT}
+        select a as id, b as other, round(c, 9) as cosine from pairs qualify row_number() over (partition by a order by c desc, b desc) <= 5""",
     "p6_found": f"""
         with recursive {_UNIT},
         reach as (select a as id, a as seen from pairs union select r.id, p.b from reach r join pairs p on p.a = r.seen)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,25 +10,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.session import spread
+
 #: Most queries and index rows that meet in one task; larger cells are split.
 QUERY_BLOCK, INDEX_BLOCK = 2048, 4096
+#: What a vector is in a block: indexed, asking, or (both bits) the two at once.
+BASE, QUERY = 1, 2
+
+
+def parsed(text: str, size: int) -> np.ndarray | None:
+    """The unit vector of a JSON array of ``size`` finite numbers, not all zero; else None."""
+    if '"' in text or "true" in text or "false" in text:
+        return None
+    try:
+        v = np.array(json.loads(text), dtype=float)
+    except (ValueError, TypeError, RecursionError):
+        return None
+    if v.shape != (size,) or not np.isfinite(v).all():
+        return None
+    top = np.abs(v).max()
+    if top == 0:
+        return None
+    v = v / top
+    return v / np.sqrt(v @ v)
 
 
 def unit_vectors(df: DataFrame, key: str, text: str, size: int = 200) -> DataFrame:
     """``(id, v)``: one unit vector (``array<double>``) per key.
 
     Usable is a JSON array of ``size`` finite numbers, not all zero; anything else, and a null key, is
-    left out. A key counts once; of several usable vectors of one key the smallest text is taken.
+    left out. A key counts once; of several usable vectors of one key the smallest text is taken. What
+    is shuffled for that is the text, combined map side.
     """
     held = df.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
-    parsed = held.select("id", "t", F.from_json("t", "array<double>").alias("v")).where(F.size("v") == size)
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    parsed = parsed.where(F.forall("v", finite)).withColumn("top", F.array_max(F.transform("v", F.abs))).where("top > 0")
-    scaled = parsed.groupBy("id").agg(F.min_by(F.struct("v", "top"), "t").alias("s")).select(
-        "id", F.transform("s.v", lambda x: x / F.col("s.top")).alias("v")
-    )
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("n", norm).select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    kind = held.schema["id"].dataType.simpleString()
+
+    def usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[parsed(t, size) is not None for t in b["t"]]]
+
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "v": [parsed(t, size) for t in b["t"]]})
+
+    texts = spread(held).mapInPandas(usable, f"id {kind}, t string").groupBy("id").agg(F.min("t").alias("t"))
+    return texts.mapInPandas(units, f"id {kind}, v array<double>")
 
 
 def matrix(values: pd.Series) -> np.ndarray:
@@ -49,7 +76,8 @@ def blocked(
 
     ``route`` gives the home cell of each vector, under which it is indexed, and the cells it probes.
     Cells that draw many rows are split by a hash of the key on both sides, so a hot cell becomes many
-    tasks. ``score`` gets ids and vectors of a query block and an index block.
+    tasks. A vector goes once to a cell that it is both indexed under and probes. ``score`` gets ids and
+    vectors of a query block and an index block.
     """
     kind = vectors.schema["id"].dataType.simpleString()
 
@@ -73,26 +101,25 @@ def blocked(
             if not len(b):
                 continue
             home, probes = route(matrix(b["v"]))
-            h = _hash(b["id"]) >> np.uint64(3)
-            base = [[[c, q, int(x % bn[c])] for q in range(qn[c])] for c, x in zip(home.tolist(), h.tolist())]
-            asks = [[[c, int(x % qn[c]), i] for c in p.tolist() for i in range(bn[c])] for p, x in zip(probes, h.tolist())]
-            yield pd.DataFrame({"id": b["id"], "v": b["v"], "base": base, "asks": asks})
-
-    placed = vectors.select("id", "v").mapInPandas(place, f"id {kind}, v array<double>, base array<array<int>>, asks array<array<int>>")
-    by = ["c", "q", "b"]
-
-    def side(column: str, p: str) -> DataFrame:
-        at = placed.select(F.col("id").alias(f"{p}id"), F.col("v").alias(f"{p}v"), F.explode(column).alias("at"))
-        return at.select(f"{p}id", f"{p}v", *[F.col("at")[i].alias(f"{n}{p}") for i, n in enumerate(by)])
-
-    asks, base = side("asks", "x"), side("base", "y")
-
-    def task(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return score(np.array([], object), np.zeros((0, 1)), np.array([], object), np.zeros((0, 1)))
-        return score(x["xid"].to_numpy(), matrix(x["xv"]), y["yid"].to_numpy(), matrix(y["yv"]))
-
-    return asks.groupBy(*[f"{n}x" for n in by]).cogroup(base.groupBy(*[f"{n}y" for n in by])).applyInPandas(task, schema)
+            at = []
+            for c, asked, x in zip(home.tolist(), probes, (_hash(b["id"]) >> np.uint64(3)).tolist()):
+                own: dict[tuple[int, int, int], int] = {(c, q, x % int(bn[c])): BASE for q in range(qn[c])}
+                for p in asked.tolist():
+                    for i in range(bn[p]):
+                        k = (p, x % int(qn[p]), i)
+                        own[k] = own.get(k, 0) | QUERY
+                at.append([[*k, role] for k, role in own.items()])
+            yield pd.DataFrame({"id": b["id"], "v": b["v"], "at": at})
+
+    placed = vectors.select("id", "v").mapInPandas(place, f"id {kind}, v array<double>, at array<array<int>>")
+    placed = placed.select("id", "v", F.explode("at").alias("at")).select("id", "v", *[F.col("at")[i].alias(c) for i, c in enumerate(("c", "q", "b", "role"))])
+
+    def task(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, v, role = rows["id"].to_numpy(), matrix(rows["v"]), rows["role"].to_numpy()
+        asks, base = (role & QUERY) > 0, (role & BASE) > 0
+        return score(ids[asks], v[asks], ids[base], v[base])
+
+    return placed.groupBy("c", "q", "b").applyInPandas(task, schema)
 
 
 def top_by(score: Column, k: int) -> Column:

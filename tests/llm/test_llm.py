@@ -133,9 +133,35 @@ def test_most_similar_recall(spark, clustered):
     assert similar.most_similar(frame(spark, ids, rows).limit(0)).count() == 0
 
 
-def test_asked_partitions_hold_the_mass():
-    logits = np.log([[0.94, 0.06], [0.998, 0.002]])
-    assert [p.tolist() for p in similar.probable(np.eye(2), logits, 0.995)] == [[0, 1], [0]]
+def test_asked_cells_hold_the_mass():
+    """Joint probabilities of both levels, in order, up to the mass."""
+    coarse, fine = np.log([[0.9, 0.1], [0.998, 0.002]]), [np.log([[0.6, 0.4], [0.5, 0.5]]), np.zeros((2, 1))]
+    cells, before = similar.Router(coarse, fine).ordered(np.eye(2), 0.95)
+    assert [c.tolist() for c in cells] == [[0, 1, 2], [0, 1]]
+    assert before[0].tolist() == pytest.approx([0, 0.54, 0.9], abs=1e-6)
+    assert [c.tolist() for c in similar.Router(coarse, fine).ordered(np.eye(2), 0.3)[0]] == [[0], [0]]
+
+
+def test_cells_stay_small_as_vectors_grow(spark):
+    """More than a hundred cells: as many as the rows ask for, balanced, with recall kept."""
+    rng = np.random.default_rng(9)
+    centres = unit(rng.normal(size=(700, 48)))
+    rows = unit(centres[rng.integers(0, 700, 9000)] + rng.normal(size=(9000, 48)) * 0.1)
+    ids = [f"i{k:05}" for k in range(len(rows))]
+    df = frame(spark, ids, rows).cache()
+    for n in (3000, 9000):
+        router, mass = similar.fit_two_levels(df.where(f"id < 'i{n:05}'"), n, 5, 0.57, 0.999, 50)
+        home = np.array([c[0] for c in router.ordered(rows[:n], 0.0)[0]])
+        sizes = np.bincount(home, minlength=router.cells)
+        assert 0.7 * n / 50 <= router.cells <= 2 * n / 50 and np.percentile(sizes, 95) < 150
+    assert router.cells > 100
+    s = rows @ rows.T
+    np.fill_diagonal(s, -2)
+    best = np.argpartition(-s, 5, axis=1)[:, :5]
+    want = {(ids[i], ids[j]) for i in range(len(ids)) for j in best[i] if s[i, j] >= 0.57}
+    got = {(r["id"], r["other"]) for r in similar.most_similar(df, rows_per_part=50).collect()}
+    print("recall", len(want & got) / len(want), len(want), mass)
+    assert len(want & got) / len(want) >= 0.99
 
 
 def test_most_similar_recall_from_a_small_sample(spark, monkeypatch):
