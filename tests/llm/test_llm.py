@@ -140,6 +140,7 @@ def test_asked_cells_hold_the_mass():
     assert [c.tolist() for c in cells] == [[0, 1, 2], [0, 1]]
     assert before[0].tolist() == pytest.approx([0, 0.54, 0.9], abs=1e-6)
     assert [c.tolist() for c in similar.Router(coarse, fine).ordered(np.eye(2), 0.3)[0]] == [[0], [0]]
+    assert similar.Router(coarse, fine).home(np.eye(2)).tolist() == [0, 0]
 
 
 def test_cells_stay_small_as_vectors_grow(spark):
@@ -151,7 +152,8 @@ def test_cells_stay_small_as_vectors_grow(spark):
     df = frame(spark, ids, rows).cache()
     for n in (3000, 9000):
         router, mass = similar.fit_two_levels(df.where(f"id < 'i{n:05}'"), n, 5, 0.57, 0.999, 50)
-        home = np.array([c[0] for c in router.ordered(rows[:n], 0.0)[0]])
+        home = router.home(rows[:n])
+        assert all(c[0] == h for c, h in zip(router.ordered(rows[:n], 0.0)[0], home))
         sizes = np.bincount(home, minlength=router.cells)
         assert 0.7 * n / 50 <= router.cells <= 2 * n / 50 and np.percentile(sizes, 95) < 150
     assert router.cells > 100
