@@ -3,7 +3,8 @@
 Distributed k-means with parallel oversampled seeding (k-means||) gives cells, packed into blocks. Every
 record meets all cells that its angle to the centroid and the cell's radius don't rule out; records at or
 above the similarity are linked block by block, each block keeps one link per record and local component,
-and the links are contracted to groups. Records without vectors can be turned into hashed weighted features.
+and the links are contracted to groups. Records that have terms and no vectors are vectorised with hashed
+weighted features; k-means of those gives clusters of any records, described in the same way.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from lodespark.llm.vectors import INDEX_BLOCK, QUERY_BLOCK, matrix, top_by
+from lodespark.llm.vectors import INDEX_BLOCK, QUERY_BLOCK, matrix
 from lodespark.operators.components import connected_components
 from lodespark.session import cut
 
@@ -26,9 +29,13 @@ from lodespark.session import cut
 def hashed_features(df: DataFrame, key: str, terms: Column, size: int = 512) -> DataFrame:
     """``(id, v)``: unit vectors of hashed terms weighted by inverse document frequency.
 
-    ``terms`` is an ``array<string>``; rows without terms, or with no term of any weight, are left out.
+    ``terms`` is an ``array<string>``; null terms don't count; rows without terms, or with no term of any
+    weight, are left out. An empty table has no rows.
     """
-    held = df.select(F.col(key).alias("id"), terms.alias("terms")).where(F.size("terms") > 0)
+    listed = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: t.isNotNull())
+    held = cut(df.select(F.col(key).alias("id"), listed.alias("terms")).where(F.size("terms") > 0))
+    if held.isEmpty():
+        return held.select("id", F.array().cast("array<double>").alias("v"))
     counted = HashingTF(inputCol="terms", outputCol="tf", numFeatures=size).transform(held)
     weighted = IDF(inputCol="tf", outputCol="w").fit(counted).transform(counted)
     unit = Normalizer(inputCol="w", outputCol="u").transform(weighted).select("id", vector_to_array("u").alias("v"))
@@ -159,33 +166,46 @@ def similarity_groups(
     return connected_components(links).select("id", F.col("component").alias("group_first_id"))
 
 
-def describe_groups(groups: DataFrame, vectors: DataFrame, terms: DataFrame, typical: int = 3, top_terms: int = 5) -> DataFrame:
-    """``(group_first_id, size, typical, keywords)``: members nearest the group's centroid, and its terms.
+def kmeans_clusters(vectors: DataFrame, rows_per_cluster: int = 200, clusters: int = 512, seed: int = 7) -> DataFrame:
+    """``(id, cluster)`` of ``vectors (id, v)`` by distributed k-means with parallel oversampled seeding.
 
-    ``terms`` has ``(id, term)``. Centroids are summed position by position, map side first; the typical
-    members have the largest cosine to it (ties: smaller id); keywords are the most frequent terms
+    About ``rows_per_cluster`` rows a cluster, at most ``clusters`` of them; cosine distance. An empty
+    table has no rows, a table too small for two clusters has cluster 0.
+    """
+    vectors = cut(vectors)
+    k = int(np.clip(vectors.count() // rows_per_cluster, 1, clusters))
+    if k < 2:
+        return vectors.select("id", F.lit(0).alias("cluster"))
+    points = vectors.select("id", array_to_vector("v").alias("features"))
+    fit = KMeans(k=k, seed=seed, initMode="k-means||", initSteps=3, maxIter=20, distanceMeasure="cosine", predictionCol="cluster")
+    return fit.fit(points).transform(points).select("id", "cluster")
+
+
+@F.pandas_udf(DoubleType())
+def _dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(np.einsum("ij,ij->i", matrix(a), matrix(b)) if len(a) else np.zeros(0))
+
+
+def _best(df: DataFrame, group: str, item: str, score: str, k: int) -> DataFrame:
+    """``(group, best)``: the ``k`` items of the highest score, ties by item; first within salts, so that a group of any size never meets in one task."""
+    place = Window.partitionBy(group, "_salt").orderBy(F.desc(score), item)
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(64))).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k)
+    held = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("far"), F.col(item).alias("item"))))
+    return part.groupBy(group).agg(F.transform(F.slice(held, 1, k), lambda s: s["item"]).alias("best"))
+
+
+def describe_groups(groups: DataFrame, vectors: DataFrame, terms: DataFrame, typical: int = 3, top_terms: int = 5, group: str = "group_first_id") -> DataFrame:
+    """``(group, size, typical, keywords)``: members nearest the group's centroid, and its terms.
+
+    ``groups`` is ``(id, group)``, ``terms`` has ``(id, term)``. Centroids are means combined map side; the
+    typical members have the largest cosine to it (ties: smaller id); keywords are the most frequent terms
     (ties: alphabetical), possibly none.
     """
     member = groups.join(vectors, "id")
-    sums = member.select("group_first_id", F.posexplode("v").alias("at", "x")).groupBy("group_first_id", "at").agg(F.sum("x").alias("x"))
-    centre = sums.groupBy("group_first_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centre")
-    )
-    near = F.aggregate(F.zip_with("v", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    ranked = member.join(centre, "group_first_id").select("group_first_id", "id", F.round(near, 9).alias("near"))
-    # the best of each hash bucket first, so that a group of any size never meets in one task
-    salted = ranked.select("*", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
-    place = Window.partitionBy("group_first_id", "salt").orderBy(F.desc("near"), "id")
-    part = salted.withColumn("place", F.row_number().over(place)).groupBy("group_first_id", "salt").agg(
-        F.count("*").alias("n"),
-        F.collect_list(F.when(F.col("place") <= typical, F.struct((-F.col("near")).alias("far"), "id"))).alias("b"),
-    )
-    best = part.groupBy("group_first_id").agg(F.sum("n").alias("size"), F.array_sort(F.flatten(F.collect_list("b"))).alias("b"))
-    words = groups.join(terms, "id").groupBy("group_first_id", "term").agg(F.count("*").alias("n"))
-    words = words.groupBy("group_first_id").agg(top_by(F.struct("n", "term"), top_terms).alias("w"))
-    return best.join(words, "group_first_id", "left").select(
-        "group_first_id",
-        "size",
-        F.array_join(F.transform(F.slice("b", 1, typical), lambda s: s["id"]), ",").alias("typical"),
-        F.array_join(F.transform("w", lambda s: s["term"]), ",").alias("keywords"),
-    )
+    centre = member.groupBy(group).agg(F.count("*").alias("size"), Summarizer.mean(array_to_vector("v")).alias("m"))
+    centre = cut(centre.select(group, "size", vector_to_array("m").alias("m")))
+    near = member.join(centre, group).select(group, F.col("id").cast("string").alias("id"), F.round(_dot("v", "m"), 9).alias("near"))
+    best = _best(near, group, "id", "near", typical).select(group, F.array_join("best", ",").alias("typical"))
+    words = groups.join(terms, "id").groupBy(group, "term").agg(F.count("*").alias("n"))
+    words = _best(words, group, "term", "n", top_terms).select(group, F.array_join("best", ",").alias("keywords"))
+    return centre.select(group, "size").join(best, group).join(words, group, "left")

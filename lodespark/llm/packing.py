@@ -3,8 +3,9 @@
 Vector best fit: an item takes tokens, one document place and attention cost (its tokens squared) of a
 container; of the containers in which it fits under every constraint, the weighted residual norm, or the
 weighted dot product of item and residual, picks one. Items are spread over groups of bounded size by a
-hash of their row number, so no key or source can make a group large, and each group is packed in one
-task, longest items first; what is lost is at most a few last containers per group.
+hash of key, text and, of repeated rows, the number of the repeat, so no key or source can make a group
+large and the containers don't depend on how the table is partitioned. Each group is packed in one task,
+longest items first; what is lost is at most a few last containers per group.
 """
 
 from __future__ import annotations
@@ -75,13 +76,15 @@ def pack_texts(
     are items of their own. An empty table has no containers.
     """
     groups = max(1, -(-df.count() // group_rows))
-    sized = spread(df.select(key, text)).select(F.col(key).alias("item"), count_tokens(path)(F.col(text)).alias("tokens"), F.monotonically_increasing_id().alias("row"))
-    sized = sized.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    sized = spread(df.select(key, text)).select(F.col(key).alias("item"), F.xxhash64(key, text).alias("h"), count_tokens(path)(F.col(text)).alias("tokens"))
+    same = sized.groupBy("item", "h", "tokens").agg(F.count("*").alias("n"))
+    sized = same.select("item", "tokens", F.explode(F.sequence(F.lit(1), "n")).alias("copy"), "h").withColumn("h", F.xxhash64("h", "copy")).drop("copy")
+    sized = sized.withColumn("grp", F.pmod("h", F.lit(groups)).cast("int")).repartition(groups, "grp")  # a number given is kept
     limits = np.array([capacity, max_items, max_cost or capacity**2], dtype=float)
     w = np.array(weights)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row", kind="stable")
+        rows = rows.sort_values(["h", "tokens"], kind="stable")
         tokens = rows["tokens"].to_numpy()
         pieces = np.maximum(1, -(-tokens // capacity))
         at = np.repeat(np.arange(len(rows)), pieces)
@@ -96,3 +99,21 @@ def pack_texts(
     kind = dict(sized.dtypes)["item"]
     packed = sized.groupBy("grp").applyInPandas(pack, f"container string, item {kind}, piece_no bigint, first_token bigint, tokens bigint")
     return packed.withColumnRenamed("item", key)
+
+
+def packing_report(packed: DataFrame, key: str, capacity: int, max_items: int, max_cost: int) -> DataFrame:
+    """``(containers, pieces, tokens, fill, over_tokens, over_items, over_cost)``: how full the containers are, and how many break a limit.
+
+    A container of one item may exceed the cost alone. An empty packing has a null fill and zeros.
+    """
+    t = F.col("tokens").cast("double")
+    per = packed.groupBy("container").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.sum(t * t).alias("c"))
+    return per.agg(
+        F.count("*").alias("containers"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("pieces"),
+        F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"),
+        F.round(F.try_divide(F.sum("t"), F.count("*") * capacity), 4).alias("fill"),
+        F.count_if(F.col("t") > capacity).alias("over_tokens"),
+        F.count_if(F.col("n") > max_items).alias("over_items"),
+        F.count_if((F.col("c") > max_cost) & (F.col("n") > 1)).alias("over_cost"),
+    )

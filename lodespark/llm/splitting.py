@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodespark.llm.bpe import ByteBpe, encoder, pretokens
 from lodespark.session import spread
@@ -56,8 +57,13 @@ def valley_depths(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return depth
 
 
-def cut_text(text: str, bpe: ByteBpe, limit: int, overlap: int, least: float = 0.5) -> list[tuple[int, int, int]]:
-    """``(start, end, tokens)`` in characters of each piece; empty if ``text`` is within the limit."""
+def cut_text(text: str, bpe: ByteBpe, limit: int, overlap: int, least: float = 0.5) -> list[tuple[int, int, int, str]]:
+    """``(start, end, tokens, kind)`` in characters of each piece; empty if ``text`` is within the limit.
+
+    ``kind`` tells where a piece ends: at a ``sentence`` end, a ``blank``, ``inside`` a run without either,
+    or at the ``end`` of the text. Of the sentence ends in the window the deepest valley whose piece is
+    within the limit is the cut; if the tokens at a cut differ from the count so far, the next deepest.
+    """
     if len(text.encode("utf-8", "replace")) <= limit or bpe.count(text) <= limit:
         return []
     parts = _parts(text)
@@ -79,28 +85,30 @@ def cut_text(text: str, bpe: ByteBpe, limit: int, overlap: int, least: float = 0
     while done < n:
         stop = int(np.searchsorted(cum, cum[start] + limit, "right")) - 1
         stop = max(stop, done + 1)
+        wanted, kind = [], "end"
         if stop < n:
+            kind = "inside"
             low = int(np.searchsorted(cum, cum[start] + least * limit, "left"))
             a, b = np.searchsorted(ends, [max(low, done + 1), stop + 1])
             if a == b:
                 a, b = np.searchsorted(ends, [done + 1, stop + 1])
                 a = max(a, b - 1)
-            if a < b:
-                window = depth[a:b]
-                stop = int(ends[a + len(window) - 1 - np.argmax(window[::-1])])
-            else:
-                blank = next((i for i in range(stop, done, -1) if parts[i][0].isspace()), 0)
-                stop = blank or stop
-        while True:
-            piece = text[chars[start] : chars[stop]]
-            tokens = bpe.count(piece)
-            if tokens <= limit or stop <= done + 1 and start == done:
+            window = np.arange(a, b)
+            wanted = [(int(ends[i]), "sentence") for i in window[np.lexsort((-window, -depth[window]))]]
+            blank = next((i for i in range(stop, done, -1) if parts[i][0].isspace()), 0)
+            wanted += [(blank, "blank")] if blank else []
+        for at, what in [*wanted, (stop, kind)]:
+            tokens = bpe.count(text[chars[start] : chars[at]])
+            if tokens <= limit:
+                stop, kind = at, what
                 break
+        while tokens > limit and not (stop <= done + 1 and start == done):
             if stop > done + 1:
-                stop -= 1
+                stop, kind = stop - 1, "inside"
             else:
                 start += 1  # the overlap gives way
-        pieces.append((int(chars[start]), int(chars[stop]), tokens))
+            tokens = bpe.count(text[chars[start] : chars[stop]])
+        pieces.append((int(chars[start]), int(chars[stop]), tokens, kind))
         done = stop
         start = max(start + 1, int(np.searchsorted(cum, cum[stop] - overlap, "left")))
         start = min(start, done)
@@ -108,11 +116,11 @@ def cut_text(text: str, bpe: ByteBpe, limit: int, overlap: int, least: float = 0
 
 
 def split_oversized(df: DataFrame, key: str, text: str, path: str, limit: int = 1024, overlap: int = 64) -> DataFrame:
-    """``(key, piece_no, start_char, end_char, tokens, piece)`` of every text above ``limit`` tokens.
+    """``(key, piece_no, start_char, end_char, tokens, kind, piece)`` of every text above ``limit`` tokens.
 
     Each piece has at most ``limit`` tokens of the vocabulary at ``path``. From the second on it begins
     with as many whole pre-tokens of the piece before as fit into ``overlap`` tokens. Without the
-    overlaps the pieces are the text. Texts within the limit, null and empty ones give no rows.
+    overlaps the pieces are the text. ``kind`` tells where the piece ends (see ``cut_text``). Texts within the limit, null and empty ones give no rows.
     Repeated rows and rows with a null key are cut like any other.
     """
     kind = dict(df.dtypes)[key]
@@ -123,8 +131,16 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str, limit: int =
             rows = []
             for k, t in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
                 if t:
-                    rows += [(k, i, a, b, n, t[a:b]) for i, (a, b, n) in enumerate(cut_text(t, bpe, limit, overlap), 1)]
-            yield pd.DataFrame(rows, columns=[key, "piece_no", "start_char", "end_char", "tokens", "piece"])
+                    rows += [(k, i, a, b, n, how, t[a:b]) for i, (a, b, n, how) in enumerate(cut_text(t, bpe, limit, overlap), 1)]
+            yield pd.DataFrame(rows, columns=[key, "piece_no", "start_char", "end_char", "tokens", "kind", "piece"])
 
-    schema = f"`{key}` {kind}, piece_no bigint, start_char bigint, end_char bigint, tokens bigint, piece string"
+    schema = f"`{key}` {kind}, piece_no bigint, start_char bigint, end_char bigint, tokens bigint, kind string, piece string"
     return spread(df.select(key, text)).mapInPandas(task, schema)
+
+
+def cut_report(pieces: DataFrame, limit: int) -> DataFrame:
+    """``(kind, cuts, share, tokens, over)``: how many pieces end where, their mean tokens, and how many are above ``limit``."""
+    per = pieces.groupBy("kind").agg(F.count("*").alias("cuts"), F.round(F.avg("tokens"), 1).alias("tokens"), F.count_if(F.col("tokens") > limit).alias("over"))
+    total = per.agg(F.sum(F.when(F.col("kind") != "end", F.col("cuts"))).alias("all"))  # a row per kind: four at most
+    share = F.when(F.col("kind") != "end", F.round(F.try_divide("cuts", "all"), 4))
+    return per.join(F.broadcast(total)).select("kind", "cuts", share.alias("share"), "tokens", "over")

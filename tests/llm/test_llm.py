@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodespark.llm import bpe, groups, packing, similar, splitting, vectors
 from lodespark.llm.boilerplate import main_body
@@ -77,6 +78,12 @@ def test_packing_whole_texts(spark):
     assert got.groupby("container").tokens.sum().max() <= 100
     assert (got[got.doc_id == 900].tokens > 0).all() and len(got[got.doc_id == 900]) > 9
     assert len(got[got.doc_id.isin(range(200)) & (got.doc_id != 3)]) == 199 and len(got[got.doc_id == 3]) == 2
+    df = spark.createDataFrame(rows * 3, "doc_id bigint, text string")
+    one, other = (packing.pack_texts(df.repartition(n), "doc_id", "text", BYTE_BPE, capacity=100, group_rows=60) for n in (2, 7))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))  # however the table is partitioned
+    report = packing.packing_report(one, "doc_id", 100, 256, 100**2).first()
+    assert report["fill"] > 0.9 and (report["over_tokens"], report["over_items"], report["over_cost"]) == (0, 0, 0)
+    assert packing.packing_report(one.limit(0), "doc_id", 100, 256, 100).first()["containers"] == 0
 
 
 @needs_files
@@ -98,12 +105,23 @@ def test_cutting_round_trip():
     for t in texts:
         pieces = splitting.cut_text(t, e, 200, 30)
         done, out = 0, ""
-        for a, b, n in pieces:
+        for a, b, n, kind in pieces:
+            assert kind in ("sentence", "blank", "inside", "end") and (kind == "end") == (b == len(t))
             assert a <= done < b and n <= 200 and n == e.count(t[a:b])
             out += t[done:b]
             done = b
         assert out == t or e.count(t) <= 200
     assert splitting.cut_text("short", e, 200, 30) == []
+    assert {p[3] for p in splitting.cut_text(texts[0], e, 200, 30)[:-1]} == {"sentence"}
+
+
+@needs_files
+def test_cuts_are_reported(spark):
+    df = spark.createDataFrame([(1, "One sentence of it. " * 400), (2, None), (3, ""), (4, "word " * 900)], "doc_id bigint, text string")
+    pieces = splitting.split_oversized(df, "doc_id", "text", BYTE_BPE, 200, 20)
+    got = {r["kind"]: r for r in splitting.cut_report(pieces, 200).collect()}
+    assert set(got) == {"sentence", "blank", "end"} and got["end"]["cuts"] == 2 and got["end"]["share"] is None
+    assert all(r["over"] == 0 for r in got.values()) and got["sentence"]["share"] + got["blank"]["share"] == pytest.approx(1, abs=1e-3)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -225,6 +243,22 @@ def test_groups_are_exact_by_default(spark, clustered):
             assert {x["id"]: x["group_first_id"] for x in got} == want and len(got) == len(want)
 
 
+def test_clusters_of_keywords(spark):
+    """Hashed weighted keywords of six topics fall into clusters of one topic each, told by size, nearest posts and words."""
+    rng = random.Random(3)
+    rows = [(f"p{i:03}", sorted({"common", *rng.choices([f"t{i % 6}w{j}" for j in range(5)], k=4)})) for i in range(240)] + [("none", []), ("null", None)]
+    df = spark.createDataFrame(rows, "id string, terms array<string>")
+    v = groups.hashed_features(df, "id", F.col("terms")).cache()
+    assert v.count() == 240 and groups.hashed_features(df.limit(0), "id", F.col("terms")).count() == 0
+    topics = {}
+    for r in groups.kmeans_clusters(v, 20).collect():
+        topics.setdefault(r["cluster"], []).append(int(r["id"][1:]) % 6)
+    assert len(topics) >= 6 and sum(max(map(t.count, range(6))) for t in topics.values()) >= 0.95 * 240
+    told = groups.describe_groups(groups.kmeans_clusters(v, 20), v, df.select("id", F.explode("terms").alias("term")), group="cluster").collect()
+    assert sum(r["size"] for r in told) == 240 and all(len(r["typical"].split(",")) == min(3, r["size"]) and r["keywords"] for r in told)
+    assert groups.kmeans_clusters(v.limit(3)).select("cluster").distinct().count() == 1 and groups.kmeans_clusters(v.limit(0)).count() == 0
+
+
 def test_unit_vectors(spark):
     good = [3.0, 4.0]
     rows = [("a", json.dumps(good)), ("a", json.dumps(good)), ("b", "[0, 0]"), ("c", "[1]"), ("d", "[1, NaN]"), ("e", None), ("f", "null"), ("g", "bad"), (None, "[1, 1]"), ("h", "[1e300, 1e300]"), ("i", "[1, null]")]
