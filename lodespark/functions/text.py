@@ -42,7 +42,8 @@ def strip_accents(c: Column) -> Column:
 
 
 def remove_emails(c: Column) -> Column:
-    return F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "")
+    # a run is tried from its first character only, and whole or not at all
+    return F.regexp_replace(c, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "")
 
 
 def remove_urls(c: Column) -> Column:
@@ -85,3 +86,60 @@ def phrases(c: Column) -> Column:
     t = F.regexp_replace(F.lower(c), r"[^a-z \t\r\n]+", "|")
     t = F.regexp_replace(t, r"\b(?:" + "|".join(STOP_WORDS) + r")\b", "|")
     return F.filter(F.transform(F.split(t, r"\|"), squeeze), lambda p: p != "")
+
+
+def stripped(c: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
+def absolute_url(link: Column, base: str) -> Column:
+    """A link as it stands if it has a scheme, else on the host of ``base`` (from ``/``) or in its folder; null and blank stay null."""
+    host = "/".join(base.split("/")[:3])
+    folder = base.rsplit("/", 1)[0] if base.count("/") > 2 else base
+    link = F.nullif(F.trim(link), F.lit(""))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.lit(base.split(":")[0] + ":"), link))
+        .when(link.startswith("/"), F.concat(F.lit(host), link))
+        .otherwise(F.concat(F.lit(folder + "/"), link))
+    )
+
+
+def stated_dict(c: Column, schema: str) -> Column:
+    """A dictionary written as text with single or double quotes, as a struct or map; unreadable ones are null."""
+    return F.from_json(c, schema, {"allowSingleQuotes": "true"})
+
+
+def mixed_date(c: Column) -> Column:
+    """A date in any of the forms year-month-day, month/day/year and month-day-year, of four or two digits of the year; else null."""
+    c = F.translate(F.trim(c), "/", "-")
+    year = F.regexp_extract(c, r"^\d{1,2}-\d{1,2}-(\d{2}|\d{4})$", 1)
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    day = F.concat_ws("-", year, F.regexp_extract(c, r"^(\d{1,2})-", 1), F.regexp_extract(c, r"^\d{1,2}-(\d{1,2})-", 1))
+    return F.coalesce(F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), c.try_cast("date")), F.when(year != "", day.try_cast("date")))
+
+
+def first_entity(entities: Column) -> Column:
+    """Type of the first of an array of (entity, score), else O."""
+    return F.coalesce(F.get(entities, F.lit(0))["entity"], F.lit("O"))
+
+
+def stated_field(text: Column, value: Column, prefix: str = "latest_", most: int = 4) -> Column:
+    """Name of a field told by a text: what is left without the value, its first words in lower case, joined by ``_``."""
+    w = F.filter(F.split(F.lower(F.trim(F.replace(text, value, F.lit("")))), r"\s+"), lambda x: x != "")
+    return F.concat(F.lit(prefix), F.array_join(F.slice(w, 1, most), "_"))
+
+
+def without_names(text: Column, names: Column) -> Column:
+    """What is left of a text when each of an array of names is removed."""
+    return F.trim(F.regexp_replace(F.aggregate(names, text, lambda t, n: F.replace(t, n, F.lit(""))), r"\s+", " "))
+
+
+def named_columns(df, rename=lambda c: c.strip().lower().replace(" ", "_")):
+    """``df`` with its column names in lower case and ``_`` for blanks; names that would clash get a number."""
+    out: list[str] = []
+    for c in map(rename, df.columns):
+        n = sum(x == c or x.rsplit("_", 1)[0] == c and x.rsplit("_", 1)[-1].isdigit() for x in out)
+        out.append(f"{c}_{n + 1}" if n else c)
+    return df.toDF(*out)

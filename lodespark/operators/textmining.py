@@ -11,14 +11,25 @@ from pyspark.sql import functions as F
 from lodespark.functions.text import STOP_WORDS, phrases, words
 from lodespark.session import spread
 
-#: Patterns of the fields of a scanned well file; every group is kept.
+#: Patterns of the fields of a scanned well file; the first group is the field.
 WELL_FIELDS = {
     "file_no": r"WELL FILE W(\d+)",
     "operator": r"Well Operator\s*:\s*([^\n\r]+)",
+    "well_name": r"Well Name\s*:\s*([^\n\r]+)",
+    "job_id": r"\bJob (\d+)\b",
+    "job_type": r"Type of Incident\s*:\s*([^\n\r]+)",
     "county": r"County\s*:\s*([^\n\r]+)",
+    "latitude": r"(\d+°\d+'\d+\.\d+\"[NS])",
+    "longitude": r"(\d+°\d+'\d+\.\d+\"[EW])",
+    "datum": r"Vertical Datum to DDZ\s+([\d.]+ ft)",
+    "date_simulated": r"Date Stimulated\s*\n\s*(\d{1,2}/\d{1,2}/\d{4})",
     "formation": r"Stimulated Formation\s*\n\s*([^\n\r]+)",
-    "lbs": r"([\d,]+)\s*lbs(?:[^A-Za-z]|$)",
+    "top_bottom_stages": r"Top \(Ft\)\s*Bottom \(Ft\)\s*Stimulation Stages\n\s*(\d+\s+\d+\s+\d+)",
     "psi": r"([\d,]+)\s*psi(?:[^A-Za-z]|$)",
+    "lbs": r"([\d,]+)\s*lbs(?:[^A-Za-z]|$)",
+    "type_treatment": r"Type Treatment\s*\n\s*([^\n\r]+)",
+    "volume": r"Volume Units\s*\n(\d+\s*\w+)",
+    "max_treatment_rate": r"Maximum Treatment Rate \(BBLS/Min\)\s*\n\s*(\d+(?:\.\d+)?)",
 }
 #: Fixed value: an API number in any of its spellings.
 API_NUMBER = r"\b(\d{2}\s*-\s*\d{3}\s*-\s*\d{5}|API\s*#?\s*:?\s*\d{10})\b"
@@ -92,8 +103,9 @@ def turns(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def well_fields(text: Column) -> dict[str, Column]:
-    """First group of each field's pattern, '' where it is not found."""
-    return {name: F.coalesce(F.trim(F.regexp_extract(text, pattern, 1)), F.lit("")) for name, pattern in WELL_FIELDS.items()}
+    """First group of each field's pattern, '' where it is not found; a job without a number has that of its file."""
+    found = {name: F.coalesce(F.trim(F.regexp_extract(text, pattern, 1)), F.lit("")) for name, pattern in WELL_FIELDS.items()}
+    return found | {"job_id": F.when(found["job_id"] == "", found["file_no"]).otherwise(found["job_id"])}
 
 
 def api_numbers(text: Column) -> Column:

@@ -9,7 +9,7 @@ from lodespark.functions import text as X
 from lodespark.operators import textmining as M
 from lodespark.operators import timeseries as T
 from lodespark.operators.regular_grid import usable_reading
-from lodespark.session import cut
+from lodespark.session import cut, spread
 from lodespark.session import table as t
 
 
@@ -118,7 +118,7 @@ def q_missing_days(s: SparkSession, d: str) -> DataFrame:
 
 def q_text_clean(s: SparkSession, d: str) -> DataFrame:
     """The whole cleaning pipeline."""
-    return t(s, d, "documents").select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("cleaned"))
+    return spread(t(s, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(X.clean_text(F.col("text"))).alias("cleaned"))
 
 
 def q_stop_words(s: SparkSession, d: str) -> DataFrame:
@@ -129,7 +129,7 @@ def q_stop_words(s: SparkSession, d: str) -> DataFrame:
 def q_email_url(s: SparkSession, d: str) -> DataFrame:
     """Characters that e-mails, urls and tags take."""
     n = lambda f: (F.length("text") - F.length(f(F.col("text")))).cast("bigint")
-    return t(s, d, "documents").select("doc_id", n(X.remove_emails).alias("emails"), n(X.remove_urls).alias("urls"), n(X.remove_tags).alias("tags"))
+    return spread(t(s, d, "documents").select("doc_id", "text")).select("doc_id", n(X.remove_emails).alias("emails"), n(X.remove_urls).alias("urls"), n(X.remove_tags).alias("tags"))
 
 
 def q_top_words(s: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,7 @@ for _a, _b in X.CONTRACTIONS:
 _CLEAN = rf"trim(regexp_replace({_CLEAN}, '[^a-z]+', ' ', 'g'))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 _ARRAY_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS if w not in X.NEGATIONS) + "]"
-_FIELD = lambda p: f"coalesce(trim(regexp_extract(text, '{p}', 1)), '')"
+_FIELD = lambda p: "coalesce(trim(regexp_extract(text, '" + p.replace("'", "''") + "', 1)), '')"
 
 ORACLES = {
     "q_daily_resample": f"with {_SPINE} select * from rs",
@@ -258,7 +258,7 @@ ORACLES = {
         p0 as (select id, trim(regexp_replace(unnest(string_split(t, '|')), '[ \t\r\n\f]+', ' ', 'g')) as phrase from t), p as (select id, phrase, count(*) as times from p0 where phrase <> '' group by all),
         w as (select id, phrase, times, len(string_split(phrase, ' ')) as n, unnest(string_split(phrase, ' ')) as word from p), s as (select id, word, sum(times * n) / sum(times) as sc from w group by all),
         r as (select w.id, phrase, round(sum(sc), 6) as score from w join s on s.id = w.id and s.word = w.word group by w.id, phrase) select id, phrase, score from r qualify row_number() over (partition by id order by score desc, phrase) <= 10""",
-    "q_regex_fields": "select doc_id, " + ", ".join(f"{_FIELD(p)} as {n}" for n, p in M.WELL_FIELDS.items()) + " from documents where kind = 'well_report' and text is not null",
+    "q_regex_fields": "select doc_id, " + ", ".join(f"coalesce(nullif({_FIELD(p)}, ''), {_FIELD(M.WELL_FIELDS['file_no'])}) as {n}" if n == "job_id" else f"{_FIELD(p)} as {n}" for n, p in M.WELL_FIELDS.items()) + " from documents where kind = 'well_report' and text is not null",
     "q_api_numbers": rf"""with s as (select 'w' || id as id, api_no as text from raw_well_data union all select 'd' || doc_id, text from documents), x as (select id, list_transform(regexp_extract_all(text, '{M.API_NUMBER}', 1), lambda v: regexp_replace(regexp_replace(v, '\D', '', 'g'), '^(\d{{2}})(\d{{3}})(\d{{5}})$', '\1-\2-\3')) as l from s where text is not null)
         select id, array_to_string(list_sort(list_distinct(l)), ',') as numbers from x where len(l) > 0""",
     "q_group_bias": "with n as (select source, kind, count(*) as n from documents where source is not null and kind is not null group by all), g as (select source, sum(n) as gn from n group by 1), b as (select kind, sum(n) as ln, (select sum(n) from n) as total from n group by 1), x as (select g.source, b.kind, coalesce(n.n, 0) * 100.0::double / gn as pct, ln * 100.0::double / total as base from g cross join b left join n on n.source = g.source and n.kind = b.kind) select source, kind, round(pct, 6) as pct, round(base, 6) as baseline, round(pct - base, 6) as deviation from x",

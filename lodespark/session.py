@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir`` of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is used. The files outlive a lost executor.
+    Where it is unset a temporary one stands in on one machine; on a cluster that is an error, since no
+    other machine would see it.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodespark-"))
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="lodespark-")
+        context.setCheckpointDir(folder)
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage. The files outlive a lost executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

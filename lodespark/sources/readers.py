@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,6 +18,39 @@ def csv_table(spark: SparkSession, path: str, schema: str | StructType, header:
     return spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").csv(path)
 
 
+def csv_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV whose header may stand anywhere: every line equal to the first column names is dropped; unparseable values are null."""
+    lines = spark.read.text(path)
+    names = spark.createDataFrame([], schema).columns
+    wanted = [",".join(names), ", ".join(names), ",".join(f'"{n}"' for n in names)]
+    return lines.where(~F.col("value").isin(wanted)).select(F.from_csv("value", schema).alias("r")).select("r.*")
+
+
+def by_keys(df: DataFrame, key: str, values: list) -> DataFrame:
+    """The rows of some keys, as a filter that reaches the scan (or the database, for a JDBC table)."""
+    return df.where(F.col(key).isin(values))
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, split_by: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A database table, read in ``parts`` ranges of ``split_by`` where given; filters and columns are pushed down."""
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
+    if split_by:
+        r = r.option("partitionColumn", split_by).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return r.load()
+
+
+def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``(file, bytes, content)`` of the files of a folder and all folders in it whose name fits ``pattern``."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return d.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), "content")
+
+
+def pages(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, page_no, page)``: the pages of extracted text, form feeds between them; blank pages are counted and left out."""
+    p = texts.select(key, F.posexplode(F.split(text, "\f")).alias("at", "page"))
+    return p.where(F.trim("page") != "").select(key, (F.col("at") + 1).alias("page_no"), "page")
+
+
 def transactions(spark: SparkSession, path: str) -> DataFrame:
     """``(basket, item)`` of quoted transactions: basket is date-customer, item the whole product number.
 
@@ -147,6 +181,30 @@ def html_labels(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInPandas(task, f"`{key}` {kind}, label string, value string")
 
 
+def html_stats(pages: DataFrame, key: str, html: str, mark: str = "block_stat") -> DataFrame:
+    """``(key, text, value)``: each paragraph of class ``mark`` with the text of the span in it."""
+    kind = dict(pages.dtypes)[key]
+    block = re.compile(rf"<p[^>]*class=[\"']{mark}[\"'][^>]*>(.*?)</p>", re.S)
+    span, tag = re.compile(r"<span[^>]*>(.*?)</span>", re.S), re.compile(r"<[^<>]*>")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, h in zip(b.iloc[:, 0], b.iloc[:, 1]):
+                for body in block.findall(h or ""):
+                    value = span.search(body)
+                    rows.append((k, _clean(unescape(tag.sub(" ", body))), _clean(unescape(tag.sub(" ", value.group(1)))) if value else ""))
+            yield pd.DataFrame(rows, columns=[key, "text", "value"])
+
+    return pages.select(key, html).mapInPandas(task, f"`{key}` {kind}, text string, value string")
+
+
+def page_place(json: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, latitude, longitude)`` of the JSON form of a page; null where it has none."""
+    at = lambda k: F.get_json_object(text, f"$.{k}").try_cast("double").alias(k)
+    return json.select(key, at("latitude"), at("longitude"))
+
+
 def html_paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``(key, text)``: the paragraphs joined by a blank; '' where there are none."""
     kind = dict(pages.dtypes)[key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.operators.relational import upsert
@@ -14,9 +14,21 @@ def predictions_csv(df: DataFrame, path: str, digits: int | None = 6) -> None:
     df.select("user_id", "business_id", value.alias("prediction")).orderBy("user_id", "business_id").write.mode("overwrite").option("header", True).csv(path)
 
 
-def pairs_csv(df: DataFrame, path: str) -> None:
-    """Pairs with their similarity, sorted by pair."""
-    df.orderBy(*df.columns[:2]).write.mode("overwrite").option("header", True).csv(path)
+def pairs_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
+    """Pairs with their similarity, sorted by pair; with ``digits`` decimals, or in full."""
+    a, b, value = df.columns[:3]
+    shown = F.format_string(f"%.{digits}f", value) if digits is not None else F.col(value)
+    df.select(a, b, shown.alias(value)).orderBy(a, b).write.mode("overwrite").option("header", True).csv(path)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file at ``path`` of any file system that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
 
 
 def text_lines(df: DataFrame, column: str, path: str, by: str | None = None) -> None:
