@@ -23,9 +23,9 @@ def _support(b: DataFrame, share: float) -> int:
 
 
 def q_frequent_itemsets(s: SparkSession, d: str) -> DataFrame:
-    """All brand sets in at least 1 in 500 orders, up to three brands."""
-    b = baskets(s, d)
-    return I.frequent_itemsets(b, _support(b, 0.002), 3).select("size", F.array_join("items", ",").alias("items"), "support")
+    """All brand sets in at least 1 in 2,000 orders, of any size."""
+    b = cut(baskets(s, d))
+    return I.frequent_itemsets(b, _support(b, 0.0005)).select("size", F.array_join("items", ",").alias("items"), "support")
 
 
 def q_frequent_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -39,10 +39,16 @@ def q_pcy_pairs(s: SparkSession, d: str) -> DataFrame:
     return I.pcy_pairs(b, _support(b, 0.02)).select(F.concat_ws(",", "a", "b").alias("items"), "support")
 
 
+def q_pcy_itemsets(s: SparkSession, d: str) -> DataFrame:
+    """Sets of any size through hash buckets before each level."""
+    b = cut(baskets(s, d))
+    return I.pcy_itemsets(b, _support(b, 0.0005)).select("size", F.array_join("items", ",").alias("items"), "support")
+
+
 def q_local_candidates(s: SparkSession, d: str) -> DataFrame:
-    """Candidates of four slices (F03); depends on the slicing."""
-    b = baskets(s, d)
-    return I.local_candidates(b, _support(b, 0.02), 4).select("size", F.array_join("items", ",").alias("items"))
+    """Candidates of four slices by order number, of any size (F03); depends on the slicing."""
+    b = cut(baskets(s, d))
+    return I.local_candidates(b, _support(b, 0.002), 4, F.col("basket")).select("size", F.array_join("items", ",").alias("items"))
 
 
 def _sets(s: SparkSession, d: str) -> DataFrame:
@@ -60,11 +66,17 @@ def q_lsh_classes(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_minhash_signature(s: SparkSession, d: str) -> DataFrame:
-    """First four values of each customer's signature over the numbers of its parts."""
+    """Each customer's signature of 60 values over the numbers of its parts."""
     o = t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     parts = t(s, d, "lineitem").select("l_orderkey", "l_partkey").join(o, "l_orderkey").groupBy("o_custkey").agg(F.collect_set("l_partkey").alias("items"))
-    sig = parts.withColumn("sig", S.signature(F.col("items"), S.HASHES[:4]))
-    return sig.select("o_custkey", *[F.col("sig")[i].alias(f"h{i}") for i in range(4)])
+    return parts.select("o_custkey", F.posexplode(S.signature(F.col("items"))).alias("h", "least"))
+
+
+def q_lsh_keywords(s: SparkSession, d: str) -> DataFrame:
+    """Posts whose keyword sets are half alike and more, through 30 bands of 2 (L01): class and number of links."""
+    k = _keywords(s, d, "id").groupBy("user").agg(F.array_sort(F.collect_set(F.xxhash64("item"))).alias("items"))
+    sets = k.select(F.col("user").alias("id"), "items", F.concat_ws("/", F.size("items"), F.md5(F.array_join("items", ","))).alias("digest"))
+    return S.similarity_classes(sets, lambda x, least: S.banded_pairs(x, least, 30, 2), 0.5)
 
 
 def _held_out() -> str:
@@ -94,28 +106,65 @@ def q_feature_table(s: SparkSession, d: str) -> DataFrame:
     return f.select("user_id", "item", *[F.round(c, 8).alias(c) for c in M.FEATURES])
 
 
+def _measures(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list]:
+    """Measures of users and items from customers, orders, parts and lines; some of each are missing."""
+    o = t(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("review_count"), *[F.count_if(F.col("o_orderstatus") == x).alias(n) for x, n in (("F", "useful"), ("O", "funny"), ("P", "cool"))]
+    )
+    k = F.col("c_custkey")
+    u = t(s, d, "customer").where("c_custkey % 10 <> 3").join(o, "c_custkey").select(
+        k.alias("user_id"), "review_count", (k % 5 + 1).alias("average_stars"), F.col("c_nationkey").alias("fans"), "useful", "funny", "cool",
+        F.when(k % 4 == 0, "None").otherwise(F.array_join(F.array_repeat(F.lit("f"), (k % 6 + 1).cast("int")), ",")).alias("friends"),
+        F.when(k % 3 > 0, F.array_join(F.array_repeat(F.lit("2020"), (k % 3).cast("int")), ",")).alias("elite"),
+        F.format_string("%d-05-01", F.lit(2005) + k % 20).alias("since"), (k % 7).cast("string").alias("hot"), F.lit("bad").alias("cute"),
+    )
+    p = t(s, d, "part").groupBy(F.col("p_brand").alias("item")).agg(F.count("*").alias("n"), F.min("p_size").cast("int").alias("low"))
+    attributes = F.create_map(F.lit("RestaurantsPriceRange2"), (F.col("low") % 4 + 1).cast("string"), F.lit("ByAppointmentOnly"), F.when(F.col("n") % 2 == 0, "True").otherwise("False"))
+    i = p.where("item <> 'Brand#5'").select("item", (F.col("n") % 5 + 1).alias("stars"), F.col("n").alias("review_count"), F.when(F.col("n") % 3 > 0, attributes).alias("attributes"))
+    li = t(s, d, "lineitem").join(M.small(t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"))), "l_partkey")
+    years = li.where("item <> 'Brand#7'").groupBy("item").agg(F.array_join(F.array_sort(F.collect_set(F.year("l_shipdate").cast("string"))), ",").alias("date"))
+    photos = li.where("item <> 'Brand#9'").select("item", F.when(F.col("l_returnflag") == "R", "food").otherwise("menu").alias("label"))
+    tips = li.where("item <> 'Brand#11'").select("item", F.col("l_quantity").cast("int").alias("likes"))
+    return M.user_measures(u, ["hot", "cute"]), M.item_measures(i), M.side_measures(years, photos, tips)
+
+
+def q_wide_features(s: SparkSession, d: str) -> DataFrame:
+    """28 measures of the held-out pairs with defaults."""
+    train, test = _split(s, d)
+    f = M.wide_features(test.select("user_id", "item"), train, *_measures(s, d))
+    return f.select("user_id", "item", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in M.WIDE])
+
+
 def q_hybrid(s: SparkSession, d: str) -> DataFrame:
-    """Boosted trees blended with the collaborative part, RMSE per method."""
+    """A boosted model of 100 rounds and a forest over all features, .65 and .35, blended with the collaborative part; RMSE of each."""
     train, test = _split(s, d)
-    test = test.withColumnRenamed("rating", "truth")
-    base = M.feature_table(train, train)
-    model = M.boosted(base, M.feature_table(train, test))
-    cf = M.predict_cf(train, test, cut(M.item_similarity(train)))
-    j = model.select("user_id", "item", "truth", "model", "u_n").join(cf, ["user_id", "item"])
+    measures = _measures(s, d)
+    features = [*M.FEATURES, *M.WIDE]
+    base = cut(M.wide_features(M.feature_table(train, train), train, *measures))
+    asked = cut(M.wide_features(M.feature_table(train, test.withColumnRenamed("rating", "truth")), train, *measures))
+    model = M.boosted(base, asked, depth=6, rounds=100, step=0.1, features=features, out="one")
+    model = M.forest(base, model, features=features, out="two")
+    model = model.withColumn("model", F.col("one") * 0.65 + F.col("two") * 0.35)
+    cf = M.predict_cf(train, test, cut(M.item_similarity(train, one_divisor=5.3)), top=20)
+    j = model.select("user_id", "item", "truth", "one", "two", "model", "u_n").join(cf, ["user_id", "item"])
     w = M.blend_weight(F.col("co_rated"), F.col("u_n") == 0)
     j = j.withColumns({"hybrid": F.col("prediction") * 0.12 + F.col("model") * 0.88, "dynamic": F.least(F.greatest(w * F.col("prediction") + (1 - w) * F.col("model"), F.lit(1.0)), F.lit(5.0))})
     rmse = lambda c: F.round(F.sqrt(F.avg(F.pow(F.col(c) - F.col("truth"), 2))), 4).alias(f"rmse_{c}")
-    return j.agg(F.count("*").alias("n"), rmse("model"), rmse("prediction"), rmse("hybrid"), rmse("dynamic"))
+    return j.agg(F.count("*").alias("n"), *map(rmse, ("one", "two", "model", "prediction", "hybrid", "dynamic")))
+
 
+def _keywords(s: SparkSession, d: str, by: str) -> DataFrame:
+    """(user, item): authors (or posts) with the keywords of their posts; grows with the posts and stays populated at any scale."""
+    p = t(s, d, "reddit_post_new").select(F.col(by).alias("user"), F.explode(F.split(F.lower("keywords"), ",")).alias("item"))
+    return p.select("user", F.trim("item").alias("item")).where("user is not null and item <> ''").distinct()
 
-def _edges(s: SparkSession, d: str) -> DataFrame:
-    o = t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user"))
-    pairs = t(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item")).join(o, "l_orderkey").select("user", "item")
-    return G.cooccurrence_edges(pairs, 7)
+
+def _edges(s: SparkSession, d: str, least: int = 4) -> DataFrame:
+    return G.cooccurrence_edges(_keywords(s, d, "author"), least)
 
 
 def q_graph_edges(s: SparkSession, d: str) -> DataFrame:
-    """Customers that share at least seven parts."""
+    """Authors that share at least four keywords."""
     return _edges(s, d)
 
 
@@ -128,8 +177,8 @@ def q_label_propagation(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_betweenness(s: SparkSession, d: str) -> DataFrame:
-    """Edge betweenness."""
-    return G.betweenness(_edges(s, d)).select("src", "dst", F.round("score", 5).alias("score"))
+    """Edge betweenness of authors that share five, highest first, ties by edge."""
+    return G.edge_lines(G.betweenness(_edges(s, d, 5)))
 
 
 def q_modularity(s: SparkSession, d: str) -> DataFrame:
@@ -140,9 +189,9 @@ def q_modularity(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_communities(s: SparkSession, d: str) -> DataFrame:
-    """Communities by removing edges of highest betweenness."""
-    c = G.communities_by_removal(_edges(s, d))
-    return G.community_lines(c).select("size", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    """Communities of authors that share eight, by removing edges of highest betweenness."""
+    c = G.communities_by_removal(_edges(s, d, 8))
+    return G.community_lines(c).select("size", F.array_join("members", ",").alias("members"))
 
 
 def q_dense_ids(s: SparkSession, d: str) -> DataFrame:
@@ -242,9 +291,24 @@ _SHINGLES = f"""w as (select doc_id as id, {_W} as w from documents where text i
     n as (select id, count(*) as n from sh group by 1),
     j as (select a.id as a, b.id as b from sh a join sh b on a.g = b.g and a.id <> b.id group by a.id, b.id
           having count(*)::double / ((select n from n where n.id = a.id) + (select n from n where n.id = b.id) - count(*)) >= 0.8)"""
-_CLASSES = f"""with recursive {_SHINGLES}, reach as (select id, id as seen from n union select r.id, j.b from reach r join j on j.a = r.seen),
-    l as (select a, count(*) as links from j group by 1)
-    select n.id, (select min(seen) from reach r where r.id = n.id) as class_id, coalesce(links, 0) as links from n left join l on l.a = n.id"""
+_CLASS_OF = """reach as (select id, id as seen from n union select r.id, j.b from reach r join j on j.a = r.seen),
+    l as (select a, count(*) as links from j group by 1), least_of as (select id, min(seen) as class_id from reach group by 1)
+    select n.id, class_id, coalesce(links, 0) as links from n join least_of using (id) left join l on l.a = n.id"""
+_CLASSES = f"with recursive {_SHINGLES}, {_CLASS_OF}"
+
+
+def _sets_sql(share: float, sizes: int = 7, slices: int = 0) -> str:
+    """Frequent sets of up to ``sizes`` items, more than an order has; with ``slices`` those of any slice of the orders, without support."""
+    by = "basket % 4" if slices else "0"
+    levels = [f"s1 as (select {by} as slice, basket, item as items, item as last from b)"]
+    for k in range(2, sizes + 1):
+        levels.append(f"s{k} as (select s.slice, s.basket, s.items || ',' || b.item as items, b.item as last from s{k - 1} s join b on b.basket = s.basket and b.item > s.last)")
+    least = f"(select k from sup)::double / {slices}" if slices else "(select k from sup)"
+    counted = " union all ".join(f"select {k}::int as size, slice, items, count(*) as support from s{k} group by slice, items having count(*) >= {least}" for k in range(1, sizes + 1))
+    out = "select distinct size, items from f" if slices else "select size, items, support from f"
+    return f"with {BASKETS}, {_SUP.format(share=share)}, {', '.join(levels)}, f as ({counted}) {out}"
+
+
 _TRAIN = f"{RATINGS}, test as (select * from ratings where {_held_out()}), train as (select * from ratings where not ({_held_out()}))"
 
 
@@ -257,7 +321,8 @@ def _sims(r: str) -> str:
           from p join m ma on ma.item = item_a join m mb on mb.item = item_b)"""
 
 
-_EDGES = "pr as (select distinct o_custkey as u, l_partkey as i from lineitem join orders on l_orderkey = o_orderkey), e as (select a.u as src, b.u as dst, count(*) as common from pr a join pr b on a.i = b.i and a.u < b.u group by all having count(*) >= 7), sym as (select src, dst from e union select dst, src from e)"
+_KEYWORDS = "pr as (select distinct u, trim(i) as i from (select {by} as u, unnest(string_split(lower(keywords), ',')) as i from reddit_post_new where {by} is not null and keywords is not null) where trim(i) <> '')"
+_EDGES = _KEYWORDS.format(by="author") + ", e as (select a.u as src, b.u as dst, count(*) as common from pr a join pr b on a.i = b.i and a.u < b.u group by all having count(*) >= 4), sym as (select src, dst from e union select dst, src from e)"
 _LPA = ", l0 as (select distinct src as id, src as label from sym)" + "".join(
     f", l{i} as (select src as id, label from (select src, label, count(*) as n from sym join l{i - 1} on dst = id group by all) qualify row_number() over (partition by src order by n desc, label) = 1)" for i in range(1, 6)
 )
@@ -266,16 +331,26 @@ _FM_ROWS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(K.FM_HASHES))
 _REACH = "reach as (select src as id, src as seen from sym union select r.id, sym.dst from reach r join sym on sym.src = r.seen), comp as (select id, min(seen) as component from reach group by 1)"
 
 ORACLES = {
-    "q_frequent_itemsets": f"""with {BASKETS}, {_SUP.format(share=0.002)}
-        select 1 as size, item as items, count(*) as support from b group by item having count(*) >= (select k from sup)
-        union all select 2, a.item || ',' || c.item, count(*) from b a join b c on a.basket = c.basket and a.item < c.item group by a.item, c.item having count(*) >= (select k from sup)
-        union all select 3, a.item || ',' || c.item || ',' || e.item, count(*) from b a join b c on a.basket = c.basket and a.item < c.item join b e on e.basket = a.basket and c.item < e.item group by a.item, c.item, e.item having count(*) >= (select k from sup)""",
+    "q_frequent_itemsets": _sets_sql(0.0005),
+    "q_pcy_itemsets": _sets_sql(0.0005),
+    "q_local_candidates": _sets_sql(0.002, slices=4),
+    "q_lsh_keywords": f"""with recursive {_KEYWORDS.format(by="id")}, n as (select u as id, count(*) as n from pr group by 1), c as (select a.u as a, b.u as b, count(*) as common from pr a join pr b on a.i = b.i and a.u <> b.u group by all),
+        j as (select a, b from c join n x on x.id = a join n y on y.id = b where common::double / (x.n + y.n - common) >= 0.5), {_CLASS_OF}""",
+    "q_wide_features": f"""with {_TRAIN}, o as (select o_custkey as k, count(*) as rc, count_if(o_orderstatus = 'F') as us, count_if(o_orderstatus = 'O') as fu, count_if(o_orderstatus = 'P') as co from orders group by 1),
+        u as (select c_custkey as user_id, rc, (c_custkey % 5 + 1) as st, c_nationkey as fans, us, fu, co, case when c_custkey % 4 = 0 then 0 else c_custkey % 6 + 1 end as fr, c_custkey % 3 as el, c_custkey % 7 as comp, least((2025 - (2005 + c_custkey % 20)) * 365, 6000) as days from customer join o on k = c_custkey where c_custkey % 10 <> 3),
+        i as (select p_brand as item, count(*) as n, min(p_size)::int as low from part group by 1), li as (select p_brand as item, lineitem.* from lineitem join part on l_partkey = p_partkey),
+        ck as (select item, count(distinct year(l_shipdate)) as visits from li where item <> 'Brand#7' group by 1), ph as (select item, count(*) as photos, count_if(l_returnflag = 'R')::double / count(*) as food from li where item <> 'Brand#9' group by 1),
+        tp as (select item, count(*) as tips, avg(l_quantity::int::double) as likes from li where item <> 'Brand#11' group by 1), up as (select user_id, count(*) as c from train group by 1), ip as (select item, count(*) as c from train group by 1),
+        f as (select t.user_id, t.item, case when i.n is null or t.item = 'Brand#5' then 3.5 else i.n % 5 + 1 end as i_stars, case when i.n is null or t.item = 'Brand#5' then 30 else i.n end as i_reviews, case when i.n is null or t.item = 'Brand#5' or i.n % 3 = 0 then 2 else low % 4 + 1 end as i_price, 1 as i_cards,
+          case when t.item <> 'Brand#5' and i.n % 3 > 0 and i.n % 2 = 0 then 1 else 0 end as i_appointment, 0 as i_reservations, 1 as i_service, 1 as i_wheelchair, coalesce(visits, 0) as visits, coalesce(photos, 5) as photos, coalesce(food, 0.5) as food_share, coalesce(tips, 3) as tips, coalesce(likes, 0.5) as tip_likes,
+          coalesce(rc, 15) as u_reviews, coalesce(st, 3.7) as u_stars, coalesce(fans, 1) as u_fans, coalesce(us, 5) as u_useful, coalesce(fu, 2) as u_funny, coalesce(co, 2) as u_cool, coalesce(fr, 10) as u_friends, coalesce(el, 0) as u_elite, coalesce(comp, 2) as u_compliments, coalesce(days, 1500) as u_days, coalesce(up.c, 10) as u_pairs, coalesce(ip.c, 30) as i_pairs
+          from test t left join i on i.item = t.item left join ck on ck.item = t.item left join ph on ph.item = t.item left join tp on tp.item = t.item left join u on u.user_id = t.user_id left join up on up.user_id = t.user_id left join ip on ip.item = t.item)
+        select user_id, item, {", ".join(f"round({c}::double, 6) as {c}" for c in M.WIDE if c not in ("star_gap", "review_ratio", "star_product"))}, round(abs(u_stars::double - i_stars::double), 6) as star_gap, round(u_reviews::double / (i_reviews + 1), 6) as review_ratio, round(u_stars::double * i_stars::double / 25, 6) as star_product from f""",
     "q_frequent_pairs": _PAIRS,
     "q_pcy_pairs": _PAIRS,
     "q_jaccard_classes": _CLASSES,
     "q_lsh_classes": _CLASSES,
-    "q_minhash_signature": "with p as (select distinct o_custkey, l_partkey from lineitem join orders on l_orderkey = o_orderkey) select o_custkey, "
-    + ", ".join(f"min((l_partkey * {a} + {b}) % {S.PRIME}) as h{i}" for i, (a, b) in enumerate(S.HASHES[:4])) + " from p group by 1",
+    "q_minhash_signature": f"with p as (select distinct o_custkey, l_partkey from lineitem join orders on l_orderkey = o_orderkey), h(h, a, b) as (values {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(S.HASHES))}) select o_custkey, h::int as h, min((l_partkey * a + b) % {S.PRIME}) as least from p cross join h group by o_custkey, h",
     "q_item_similarity": f"with {RATINGS}, {_sims('ratings')} select item_a, item_b, n, round(sim, 6) as sim from sims",
     "q_cf_predict": f"""with {_TRAIN}, {_sims('train')}, both_ways as (select item_a as item, item_b as other, sim from sims union all select item_b, item_a, sim from sims),
         near as (select t.user_id, t.item, b.sim, r.rating from test t join train r on r.user_id = t.user_id join both_ways b on b.item = t.item and b.other = r.item

@@ -291,3 +291,4 @@ def test_mahalanobis_floor(spark):
     ).first()
     assert row["m"] == pytest.approx(math.sqrt(1 / 1)) and row["h"] == int("é1".encode().hex(), 16) % 97
     assert (row["n"], row["z"], row["l"], row["d"]) == (7.0, 3, 0, 6000)
+    assert spark.range(1).select(days_since_year(F.lit("n/a"), 2025), days_since_year(F.lit("2020"), 2025), days_since_year(F.lit(None).cast("string"), 2025)).first()[:] == (1500, 1825, 1500)
