@@ -48,7 +48,7 @@ def q_pcy_itemsets(s: SparkSession, d: str) -> DataFrame:
 def q_local_candidates(s: SparkSession, d: str) -> DataFrame:
     """Candidates of four slices by order number, of any size (F03); depends on the slicing."""
     b = cut(baskets(s, d))
-    return I.local_candidates(b, _support(b, 0.002), 4, F.col("basket")).select("size", F.array_join("items", ",").alias("items"))
+    return I.local_candidates(b, _support(b, 0.008), 4, F.col("basket")).select("size", F.array_join("items", ",").alias("items"))
 
 
 def _sets(s: SparkSession, d: str) -> DataFrame:
@@ -333,7 +333,7 @@ _REACH = "reach as (select src as id, src as seen from sym union select r.id, sy
 ORACLES = {
     "q_frequent_itemsets": _sets_sql(0.0005),
     "q_pcy_itemsets": _sets_sql(0.0005),
-    "q_local_candidates": _sets_sql(0.002, slices=4),
+    "q_local_candidates": _sets_sql(0.008, slices=4),
     "q_lsh_keywords": f"""with recursive {_KEYWORDS.format(by="id")}, n as (select u as id, count(*) as n from pr group by 1), c as (select a.u as a, b.u as b, count(*) as common from pr a join pr b on a.i = b.i and a.u <> b.u group by all),
         j as (select a, b from c join n x on x.id = a join n y on y.id = b where common::double / (x.n + y.n - common) >= 0.5), {_CLASS_OF}""",
     "q_wide_features": f"""with {_TRAIN}, o as (select o_custkey as k, count(*) as rc, count_if(o_orderstatus = 'F') as us, count_if(o_orderstatus = 'O') as fu, count_if(o_orderstatus = 'P') as co from orders group by 1),
