@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodespark.operators.sketches import BLOOM_BITS, BLOOM_HASHES
+from lodespark.session import scratch
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -19,25 +19,38 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def drain(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is available into a memory table and return it; for bounded results."""
+def in_order(df: DataFrame, by: str, files: int) -> str:
+    """``df`` as a folder of ``files`` Parquet parts, written one after another in ranges of ``by``; its path."""
     spark = df.sparkSession
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    path = scratch(spark, "incoming")
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    for i in range(files if low is not None else 0):
+        cut = [low + (high + 1 - low) * k // files for k in (i, i + 1)]
+        df.where((F.col(by) >= cut[0]) & (F.col(by) < cut[1])).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def drain(df: DataFrame) -> DataFrame:
+    """Run a stream over all that is available into Parquet files of the shared folder, in append mode, and return them."""
+    spark = df.sparkSession
+    path = scratch(spark, "drained")
+    query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "stream")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def window_counts(events: DataFrame, ts: str, by: str, width: str, late: str = "1 hour") -> DataFrame:
-    """Counts per event-time window and key; rows later than ``late`` behind the newest are left out.
+    """Counts per event-time window and key, given out once the newest time is ``late`` past the window's end.
 
-    ``ts`` must be a timestamp with zone; rows with a null time are left out.
+    Rows that come later than that are dropped and the state of closed windows with them. ``ts`` must be a
+    timestamp with zone; rows with a null time are left out.
     """
     w = events.where(F.col(ts).isNotNull()).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"))
     return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), by, "n")
 
 
 def session_counts(events: DataFrame, ts: str, by: str, gap: str, late: str = "1 hour") -> DataFrame:
-    """Events per session of a key, sessions ending after ``gap`` without one."""
+    """Events per session of a key, which ends after ``gap`` without one and is given out when ``late`` has passed as well."""
     w = events.where(F.col(ts).isNotNull()).withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n"))
     return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), by, "n")
 
@@ -48,7 +61,7 @@ def bloom_stream(values: DataFrame, value: str, shards: int = 1) -> DataFrame:
     The filter is state of bounded size per shard (bits packed); values are sharded by a hash, so the
     filter can be spread over tasks without changing what it answers per shard. Nulls are left out.
     """
-    v = values.select(F.col(value).cast("bigint").alias("v")).where("v is not null").withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    v = values.select(F.col(value).cast("bigint").alias("v")).where("v is not null").withColumn("shard", F.pmod("v", F.lit(shards)).cast("int"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, packed = state.get if state.exists else (0, bytes((BLOOM_BITS + 7) // 8))
@@ -65,30 +78,34 @@ def bloom_stream(values: DataFrame, value: str, shards: int = 1) -> DataFrame:
     )
 
 
-def reservoir_stream(values: DataFrame, value: str, size: int = 100, seed: int = 553) -> DataFrame:
-    """Per micro-batch ``(n, slot, value)``: a reservoir of ``size``; the n-th value enters with probability size/n.
+def reservoir_stream(values: DataFrame, value: str, size: int = 100, seed: int = 7, shards: int = 8) -> DataFrame:
+    """Per micro-batch and shard ``(shard, n, value, draw)``: a uniform sample of ``size`` of all values so far.
 
-    The state is the reservoir and a count; the random draws depend on seed and position only, so a
-    replayed batch gives the same sample.
+    A value's draw is a hash of seed and value; the smallest draws are the sample, so shards are filled
+    apart from each other and merged by ``merged_reservoir``, and a batch run again gives the same. The
+    state of a shard is its sample and a count. Nulls are left out; a repeated value counts once.
     """
-    v = values.select(F.lit(0).alias("k"), F.col(value).cast("string").alias("v")).where("v is not null")
+    v = values.select(F.col(value).cast("string").alias("value")).where("value is not null")
+    v = v.withColumn("draw", F.md5(F.concat_ws("/", F.lit(str(seed)), "value"))).withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)).cast("int"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, held = state.get if state.exists else (0, [])
-        held = list(held)
+        n, held, draws = state.get if state.exists else (0, [], [])
+        best = pd.DataFrame({"value": pd.Series(list(held), dtype=object), "draw": pd.Series(list(draws), dtype=object)})
         for b in batches:
-            for x in b["v"].tolist():
-                n += 1
-                if len(held) < size:
-                    held.append(x)
-                    continue
-                draw = random.Random(f"{seed}/{n}")
-                if draw.random() < size / n:
-                    held[draw.randrange(size)] = x
-        state.update((n, held))
-        yield pd.DataFrame({"n": [n] * len(held), "slot": range(len(held)), "value": held})
-
-    return v.groupBy("k").applyInPandasWithState(step, "n bigint, slot int, value string", "n bigint, held array<string>", "append", GroupStateTimeout.NoTimeout)
+            n += len(b)
+            best = pd.concat([best, b[["value", "draw"]]]).drop_duplicates().sort_values(["draw", "value"]).head(size)
+        state.update((n, best["value"].tolist(), best["draw"].tolist()))
+        yield best.assign(shard=key[0], n=n)[["shard", "n", "value", "draw"]]
+
+    return v.groupBy("shard").applyInPandasWithState(
+        step, "shard int, n bigint, value string, draw string", "n bigint, held array<string>, draws array<string>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def merged_reservoir(drained: DataFrame, size: int = 100) -> DataFrame:
+    """``(value, draw)``: the sample of all shards at their latest."""
+    latest = drained.groupBy("shard").agg(F.max("n").alias("n"))
+    return drained.join(latest, ["shard", "n"], "left_semi").select("value", "draw").distinct().orderBy("draw", "value").limit(size)
 
 
 def refresh_once(incoming: DataFrame, target: str, key: str) -> None:

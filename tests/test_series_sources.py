@@ -1,6 +1,7 @@
 """Series against pandas; sources, sinks and streams on small files; the queries on the smallest data."""
 
 import datetime as dt
+import hashlib
 import json
 
 import numpy as np
@@ -109,10 +110,13 @@ def test_streams(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame([(i * 50 + j, str(i * 50 + j)) for j in range(50)] + [(7, "7")], "v bigint, s string").coalesce(1).write.mode("append").parquet(str(data))
     stream = lambda: streams.file_stream(spark, str(data), "*.parquet", "v bigint, s string")
-    bloom = [(r["seq"], r["seen"], r["maybe_known"]) for r in streams.drain(streams.bloom_stream(stream(), "v"), "bloom_test", "append").orderBy("seq").collect()]
+    bloom = [(r["seq"], r["seen"], r["maybe_known"]) for r in streams.drain(streams.bloom_stream(stream(), "v")).orderBy("seq").collect()]
     assert [b[:2] for b in bloom] == [(0, 51), (1, 51), (2, 51)] and sum(b[2] for b in bloom) >= 2
-    res = streams.drain(streams.reservoir_stream(stream(), "s", 20), "reservoir_test", "append").groupBy("n").count().orderBy("n").collect()
-    assert [tuple(r) for r in res] == [(51, 20), (102, 20), (153, 20)]
+    drained = streams.drain(streams.reservoir_stream(stream(), "s", 20, shards=3)).cache()
+    assert drained.groupBy("shard").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == 153
+    sample = [r["value"] for r in streams.merged_reservoir(drained, 20).collect()]
+    draws = sorted((hashlib.md5(f"7/{v}".encode()).hexdigest(), str(v)) for v in range(150))
+    assert sample == [v for _, v in draws[:20]]
     target = str(tmp_path / "out")
     streams.refresh_once(stream(), target, "v")
     assert spark.read.parquet(target).count() == 150
@@ -131,7 +135,7 @@ def rows_as_text(columns, rows):
 
 FEW = [
     "q_frequent_pairs", "q_left_outer", "q_text_clean", "q_rake", "p3_found", "p5_found", "p5_grid", "q_local_candidates", "q_wide_features", "q_regex_fields", "q_scalars",
-    "q_mixed_dates", "q_trading", "io_csv_lines", "io_transactions", "io_html_rows", "io_html_labels", "io_pages", "io_itemset_report", "io_upsert", "stream_window_counts",
+    "q_mixed_dates", "q_trading", "io_csv_lines", "io_transactions", "io_html_rows", "io_html_labels", "io_pages", "io_itemset_report", "io_upsert", "stream_window_counts", "stream_bloom",
 ]
 
 
