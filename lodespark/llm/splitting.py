@@ -80,24 +80,30 @@ def cut_text(text: str, bpe: ByteBpe, limit: int, overlap: int, least: float = 0
             h = known[p] = zlib.crc32(word.encode("utf-8", "replace")) % DIMENSIONS if len(word) > 3 or not word.isascii() and word else -1
         words[i] = h
     depth = valley_depths(words, ends)
-    pieces, start, done = [], 0, 0
     n = len(parts)
-    while done < n:
-        stop = int(np.searchsorted(cum, cum[start] + limit, "right")) - 1
-        stop = max(stop, done + 1)
-        wanted, kind = [], "end"
+
+    def places(done: int, start: int, stop: int) -> Iterator[tuple[int, str]]:
+        """Where a piece may end, best first."""
         if stop < n:
-            kind = "inside"
             low = int(np.searchsorted(cum, cum[start] + least * limit, "left"))
             a, b = np.searchsorted(ends, [max(low, done + 1), stop + 1])
             if a == b:
                 a, b = np.searchsorted(ends, [done + 1, stop + 1])
                 a = max(a, b - 1)
             window = np.arange(a, b)
-            wanted = [(int(ends[i]), "sentence") for i in window[np.lexsort((-window, -depth[window]))]]
+            for i in window[np.lexsort((-window, -depth[window]))]:
+                yield int(ends[i]), "sentence"
             blank = next((i for i in range(stop, done, -1) if parts[i][0].isspace()), 0)
-            wanted += [(blank, "blank")] if blank else []
-        for at, what in [*wanted, (stop, kind)]:
+            if blank:
+                yield blank, "blank"
+        yield stop, "end" if stop == n else "inside"
+
+    pieces, start, done = [], 0, 0
+    while done < n:
+        stop = int(np.searchsorted(cum, cum[start] + limit, "right")) - 1
+        stop = max(stop, done + 1)
+        kind = "end" if stop == n else "inside"
+        for at, what in places(done, start, stop):
             tokens = bpe.count(text[chars[start] : chars[at]])
             if tokens <= limit:
                 stop, kind = at, what
