@@ -154,11 +154,14 @@ def judge_page(host: str, title: str, content: str, evidence: dict[int, tuple[fl
     heads = [i for i, r in enumerate(rows) if r[2] == 2]
     first = heads[0] if heads and heads[0] < solid[-1] else solid[0]
     last = solid[-1]
+    following = [-1] * len(rows)  # verdict of the next block that is not open
+    for i in range(len(rows) - 2, -1, -1):
+        following[i] = rows[i + 1][2] or following[i + 1]
     for i, r in enumerate(rows):  # open blocks belong to the branch around them
         if r[2]:
             continue
-        before = next((rows[j][2] for j in range(i - 1, -1, -1) if rows[j][2]), -1)
-        after = next((rows[j][2] for j in range(i + 1, len(rows)) if rows[j][2]), -1)
+        before = rows[i - 1][2] if i else -1
+        after = following[i]
         inside = first <= i <= last
         lean = -r[3] + (0.6 if inside else -0.7) + (0.35 if before > 0 else -0.35) + (0.35 if after > 0 else -0.35)
         if r[4]:
