@@ -4,6 +4,7 @@ import base64
 import json
 import os
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lodespark.llm import bpe, groups, packing, similar, splitting, vectors
 from lodespark.llm.boilerplate import main_body
-from lodespark.llm.queries import BYTE_BPE, p9_packed
+from lodespark.llm.queries import BYTE_BPE, p4_found, p9_packed
+from lodespark.session import release, shared_folder
 
 needs_files = pytest.mark.skipif(not os.path.exists(BYTE_BPE), reason="no tokenizer files here")
 
@@ -259,6 +261,63 @@ def test_clusters_of_keywords(spark):
     assert groups.kmeans_clusters(v.limit(3)).select("cluster").distinct().count() == 1 and groups.kmeans_clusters(v.limit(0)).count() == 0
 
 
+def test_packed_without_loss():
+    rng = np.random.default_rng(4)
+    rows = [rng.normal(size=8).round(4), (rng.normal(size=8) * 100).round(6), rng.normal(size=8), np.array([1e300] * 8), np.arange(8.0), np.array([5e-324] * 8), np.array([0.1, -0.0] * 4)]
+    held = vectors.packed(np.array(rows))
+    assert (vectors.unpacked(held) == np.array(rows)).all()
+    assert [len(x) for x in held] == [17, 33, 65, 65, 17, 65, 17]
+
+
+def taken(spark, make):
+    """What ``make`` returns, and the most bytes of shuffle and checkpoint files that it held at a time."""
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), shared_folder(spark).removeprefix("file:")]
+    release(spark)
+
+    def now() -> int:
+        total = 0
+        for folder in folders:
+            for where, _, files in os.walk(folder):
+                for f in files:
+                    try:
+                        total += os.path.getsize(os.path.join(where, f))
+                    except OSError:
+                        pass
+        return total
+
+    most, over = [], threading.Event()
+    first = now()
+    watch = threading.Thread(target=lambda: [most.append(now()) for _ in iter(lambda: over.wait(0.1), True)])
+    watch.start()
+    try:
+        out = make()
+    finally:
+        over.set()
+        watch.join()
+    return out, max(most) - first
+
+
+def posts(spark, folder, n, groups, noise):
+    """A table of ``n`` embeddings of 200 numbers in groups; the ids, unit vectors and bytes of it."""
+    rng = np.random.default_rng(8)
+    rows = (rng.normal(size=(groups, 200))[rng.integers(0, groups, n)] + rng.normal(size=(n, 200)) * noise).round(4)
+    ids = [f"p{i:05}" for i in range(n)]
+    spark.createDataFrame(list(zip(ids, map(json.dumps, rows.tolist()))), "reddit_post_id string, embedding string").repartition(4).write.parquet(f"{folder}/embedding_vectors.parquet")
+    return ids, unit(rows), sum(p.stat().st_size for p in (folder / "embedding_vectors.parquet").iterdir())
+
+
+def test_similar_within_the_disk(spark, tmp_path, monkeypatch):
+    """However many cells a vector asks, no more than a copy or so of the table is on disk for it at a time."""
+    monkeypatch.setattr(vectors, "PASS_ROWS", 500)
+    ids, rows, size = posts(spark, tmp_path, 4000, 150, 0.6)
+    d = rows @ rows.T
+    np.fill_diagonal(d, -1)
+    want = {tuple(sorted((ids[i], ids[j]))) for i in range(len(ids)) for j in np.argsort(-d[i])[:5] if d[i, j] >= 0.57}
+    got, most = taken(spark, lambda: {tuple(r) for r in p4_found(spark, str(tmp_path)).collect()})
+    assert len(got & want) > 0.98 * len(want)
+    assert most < 4 * size
+
+
 def test_unit_vectors(spark):
     good = [3.0, 4.0]
     rows = [("a", json.dumps(good)), ("a", json.dumps(good)), ("b", "[0, 0]"), ("c", "[1]"), ("d", "[1, NaN]"), ("e", None), ("f", "null"), ("g", "bad"), (None, "[1, 1]"), ("h", "[1e300, 1e300]"), ("i", "[1, null]")]
