@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodespark.llm import bpe, groups, packing, similar, splitting, vectors
 from lodespark.llm.boilerplate import main_body
-from lodespark.llm.queries import BYTE_BPE, p4_found, p9_packed
+from lodespark.llm.queries import BYTE_BPE, p4_found, p6_found, p9_packed
 from lodespark.session import release, shared_folder
 
 needs_files = pytest.mark.skipif(not os.path.exists(BYTE_BPE), reason="no tokenizer files here")
@@ -318,6 +318,16 @@ def test_similar_within_the_disk(spark, tmp_path, monkeypatch):
     assert most < 4 * size
 
 
+def test_groups_within_the_disk(spark, tmp_path, monkeypatch):
+    """Many blocks that all meet: the disk taken stays that of a few copies of the table, and the groups are exact."""
+    monkeypatch.setattr(groups, "PASS_ROWS", 500)
+    monkeypatch.setattr(groups.similarity_groups, "__defaults__", (0.57, 100, 512, None, 200, 2))
+    ids, rows, size = posts(spark, tmp_path, 4000, 700, 0.75)
+    got, most = taken(spark, lambda: {r[0]: r[1] for r in p6_found(spark, str(tmp_path)).collect()})
+    assert got == brute_groups(ids, rows) and 100 < len(set(got.values()))
+    assert most < 6 * size  # this session keeps the files of every checkpoint
+
+
 def test_unit_vectors(spark):
     good = [3.0, 4.0]
     rows = [("a", json.dumps(good)), ("a", json.dumps(good)), ("b", "[0, 0]"), ("c", "[1]"), ("d", "[1, NaN]"), ("e", None), ("f", "null"), ("g", "bad"), (None, "[1, 1]"), ("h", "[1e300, 1e300]"), ("i", "[1, null]")]
