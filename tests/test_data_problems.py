@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodespark.operators import unit_harmony
 from lodespark.operators.near_regions import EARTH_M, Trapezoids, great_circle_m, locate, near_and_inside
 from lodespark.operators.packed_values import unpack_values
 from lodespark.operators.regular_grid import regular_grid
 from lodespark.operators.unit_harmony import fit_unit_model, harmonise_volumes, parsed_volumes, unit_model_quality
+from lodespark.plans.data_queries import p1_found, p1_volumes
 
 TREATMENT = "treatment_id bigint, file_id string, volume double, volume_units string, type_treatment string, lbs_proppant double, maximum_treatment_pressure_psi double, maximum_treatment_rate_bbls_per_min double, stage string"
 RAW = "id bigint, volume string, type_treatment string, lbs string, psi string, max_treatment_rate string, source_table string"
@@ -66,6 +68,21 @@ def test_unit_model_held_out(spark):
     assert right >= 76  # held-out accuracy of 0.95 and more
 
 
+def test_stated_volumes_need_no_model(spark, tmp_path, monkeypatch):
+    """p1_found has the stated rows of p1_volumes, and nothing is fitted for it."""
+    rng = random.Random(5)
+    rows = [(float(rng.randint(10_000, 90_000)), u) for u in ("bbl", "gal", None) for _ in range(60)] + [(-1.0, "bbl"), (None, "gal")]
+    treatments(spark, rows).write.parquet(f"{tmp_path}/well_treatments.parquet")
+    raw(spark, [*TEXTS, *NONE]).write.parquet(f"{tmp_path}/raw_well_data.parquet")
+    want = sorted(map(tuple, p1_volumes(spark, str(tmp_path)).where("route = 'stated'").select("source_table", "row_id", "volume_bbl").collect()))
+
+    def fitted(*_):
+        raise AssertionError("a model was fitted")
+
+    monkeypatch.setattr(unit_harmony, "fit_unit_model", fitted)
+    assert sorted(map(tuple, p1_found(spark, str(tmp_path)).collect())) == want and len(want) == 120 + len(TEXTS)
+
+
 def test_quality_on_hidden_units(spark):
     """Two units whose magnitudes overlap: what reaches the confidence is right, the rest is left to review."""
     rng = random.Random(4)
