@@ -318,6 +318,19 @@ def test_similar_within_the_disk(spark, tmp_path, monkeypatch):
     assert most < 4 * size
 
 
+def test_passes_give_the_same(spark, clustered, monkeypatch):
+    """Cells split into many blocks and met in many passes: the rows of one pass, also where all are in one cell."""
+    df = frame(spark, *clustered).where("id not between 'i0900' and 'i0904'")  # copies, told apart by rounding only
+    for rows in (50, 5000):
+        once, often = (set(), set())
+        for found, sizes in ((once, ()), (often, (100, 64, 200))):
+            for name, x in zip(("QUERY_BLOCK", "INDEX_BLOCK", "PASS_ROWS"), sizes):
+                monkeypatch.setattr(vectors, name, x)
+            found |= {(r["id"], r["other"], round(r["cosine"], 9)) for r in similar.most_similar(df, rows_per_part=rows).collect()}
+        monkeypatch.undo()
+        assert once == often and len(once) > 4000
+
+
 def test_groups_within_the_disk(spark, tmp_path, monkeypatch):
     """Many blocks that all meet: the disk taken stays that of a few copies of the table, and the groups are exact."""
     monkeypatch.setattr(groups, "PASS_ROWS", 500)
