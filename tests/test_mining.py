@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodespark.operators import clustering, graph, itemsets, pairs, recommend, relational, set_similarity, sketches, textmining
+from lodespark.operators import clustering, graph, itemsets, met_sets, pairs, recommend, relational, set_similarity, sketches, textmining
 from lodespark.operators.components import connected_components
 
 
@@ -292,3 +292,47 @@ def test_mahalanobis_floor(spark):
     assert row["m"] == pytest.approx(math.sqrt(1 / 1)) and row["h"] == int("é1".encode().hex(), 16) % 97
     assert (row["n"], row["z"], row["l"], row["d"]) == (7.0, 3, 0, 6000)
     assert spark.range(1).select(days_since_year(F.lit("n/a"), 2025), days_since_year(F.lit("2020"), 2025), days_since_year(F.lit(None).cast("string"), 2025)).first()[:] == (1500, 1825, 1500)
+
+
+def test_meeting_sets_store_no_pairs(spark):
+    """Edges, forest, degrees and labels of sets that nearly all meet: as from the edges, and no join or shuffle of pairs."""
+    rng = random.Random(11)
+    held = {f"u{u:03}": {rng.randrange(9) for _ in range(rng.randint(1, 6))} | {99} for u in range(120)}
+    df = spark.createDataFrame([*[(u, i) for u, x in held.items() for i in x], ("u000", 99), (None, 1), ("u001", None)], "user string, item int")
+    for least in (2, 4):
+        want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and len(held[a] & held[b]) >= least}
+        edges = graph.cooccurrence_edges(df, least)
+        assert {(r["src"], r["dst"]): r["common"] for r in edges.collect()} == want
+        plan = edges._jdf.queryExecution().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        forest = [(r["src"], r["dst"]) for r in graph.cooccurrence_forest(df, least).collect()]
+        assert len(forest) < len(held)
+        parts = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(forest, "src string, dst string")).collect()}
+        assert parts == {r["id"]: r["component"] for r in connected_components(edges).collect()}
+        degrees = {r["id"]: r["k"] for r in graph.cooccurrence_degrees(df, least).collect()}
+        assert degrees == {u: n for u in held if (n := sum(u in e for e in want))}
+        for rounds in (1, 5):
+            assert {tuple(r) for r in graph.cooccurrence_labels(df, least, rounds).collect()} == {tuple(r) for r in graph.label_propagation(edges, rounds).collect()}
+        communities = connected_components(edges)
+        whole = graph.modularity(edges, communities.withColumnRenamed("component", "community")).first()[0]
+        assert graph.modularity_of_components(graph.cooccurrence_degrees(df, least), communities).first()[0] == pytest.approx(whole, abs=1e-12)
+
+
+def test_meeting_sets_in_several_tasks(spark, monkeypatch):
+    """The same whatever the number of tasks and the rows of ones."""
+    rng = random.Random(12)
+    held = {u: {rng.randrange(300) for _ in range(rng.randint(3, 8))} | ({300} if u % 3 else {301, 302}) for u in range(900)}
+    df = spark.createDataFrame([(u, i) for u, x in held.items() for i in x], "user int, item int").repartition(5)
+    want = {(a, b): n for a in held for b in held if a < b and (n := len(held[a] & held[b])) >= 2}
+    monkeypatch.setattr(met_sets, "LEAST_SETS", 100)
+    edges = graph.cooccurrence_edges(df, 2)
+    assert edges.rdd.getNumPartitions() == 8
+    assert {(r["src"], r["dst"]): r["common"] for r in edges.collect()} == want
+    parts = {tuple(r) for r in connected_components(graph.cooccurrence_forest(df, 2)).collect()}
+    assert parts == {tuple(r) for r in connected_components(edges).collect()}
+    assert {tuple(r) for r in graph.cooccurrence_labels(df, 2).collect()} == {tuple(r) for r in graph.label_propagation(edges).collect()}
+    packs = [r["pack"] for r in met_sets.packed(spark.createDataFrame([(u, sorted(x)) for u, x in held.items()], "name int, items array<bigint>")).collect()]
+    for memory in (0, 900, 64_000_000):
+        monkeypatch.setattr(met_sets, "DENSE_BYTES", memory)
+        h = met_sets.Held([bytes(x) for x in packs])
+        assert {(h.names[a], h.names[b]): n for a in range(900) for b, n in zip(*h.sharing(a, 2, True))} == want
