@@ -169,7 +169,8 @@ def q_graph_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_components(s: SparkSession, d: str) -> DataFrame:
-    return connected_components(_edges(s, d))
+    """Their components, from the edges that join something."""
+    return connected_components(cut(G.cooccurrence_forest(_keywords(s, d, "author"), 4)))
 
 
 def q_label_propagation(s: SparkSession, d: str) -> DataFrame:
