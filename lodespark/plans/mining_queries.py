@@ -174,7 +174,7 @@ def q_components(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_label_propagation(s: SparkSession, d: str) -> DataFrame:
-    return G.label_propagation(_edges(s, d))
+    return G.cooccurrence_labels(_keywords(s, d, "author"), 4)
 
 
 def q_betweenness(s: SparkSession, d: str) -> DataFrame:
