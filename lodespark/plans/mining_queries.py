@@ -184,9 +184,9 @@ def q_betweenness(s: SparkSession, d: str) -> DataFrame:
 
 def q_modularity(s: SparkSession, d: str) -> DataFrame:
     """Modularity of the components."""
-    e = cut(_edges(s, d))
-    parts = connected_components(e).withColumnRenamed("component", "community")
-    return G.modularity(e, parts).select(F.round("modularity", 6).alias("modularity"))
+    k = _keywords(s, d, "author")
+    parts = connected_components(cut(G.cooccurrence_forest(k, 4)))
+    return G.modularity_of_components(G.cooccurrence_degrees(k, 4), parts).select(F.round("modularity", 6).alias("modularity"))
 
 
 def q_communities(s: SparkSession, d: str) -> DataFrame:
