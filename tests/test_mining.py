@@ -336,3 +336,16 @@ def test_meeting_sets_in_several_tasks(spark, monkeypatch):
         monkeypatch.setattr(met_sets, "DENSE_BYTES", memory)
         h = met_sets.Held([bytes(x) for x in packs])
         assert {(h.names[a], h.names[b]): n for a in range(900) for b, n in zip(*h.sharing(a, 2, True))} == want
+
+
+def test_packed_bands_meet_as_banded_pairs_do(spark, monkeypatch):
+    """The same pairs from the buckets, hot ones and several tasks too, and no join or shuffle of pairs."""
+    rng = random.Random(13)
+    sets = {k: sorted({rng.randrange(-40, 40) for _ in range(rng.randint(1, 6))} | {7} - {k % 3 + 5}) for k in range(300)}
+    df = spark.createDataFrame(list(sets.items()), "key int, items array<bigint>").repartition(3)
+    monkeypatch.setattr(met_sets, "LEAST_SETS", 60)
+    packed = set_similarity.banded_pairs_packed(df, 0.5, 30, 2)
+    assert packed.rdd.getNumPartitions() == 5 and "Join" not in packed._jdf.queryExecution().toString()
+    want = {tuple(r) for r in set_similarity.banded_pairs(df, 0.5, 30, 2).collect()}
+    assert {tuple(r) for r in packed.collect()} == want and len(want) > 100
+    assert set_similarity.banded_pairs_packed(df.limit(0), 0.5, 30, 2).count() == 0
