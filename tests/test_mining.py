@@ -349,3 +349,14 @@ def test_packed_bands_meet_as_banded_pairs_do(spark, monkeypatch):
     want = {tuple(r) for r in set_similarity.banded_pairs(df, 0.5, 30, 2).collect()}
     assert {tuple(r) for r in packed.collect()} == want and len(want) > 100
     assert set_similarity.banded_pairs_packed(df.limit(0), 0.5, 30, 2).count() == 0
+
+
+def test_betweenness_of_a_whole_graph_in_every_task(spark, monkeypatch):
+    """The scores of the levels over tables, from tasks that hold the graph; parts and several shortest paths too."""
+    rng = random.Random(14)
+    e = as_edges(spark, [*{(rng.randrange(60), rng.randrange(60)) for _ in range(150)}, (100, 101), (101, 102), (7, 7)])
+    monkeypatch.setattr(graph, "WHOLE_EDGES", 0)
+    want = {(r["src"], r["dst"]): r["score"] for r in graph.betweenness(e).collect()}
+    monkeypatch.setattr(graph, "WHOLE_EDGES", 1000)
+    monkeypatch.setattr(graph, "_flows", None)  # no table of (source, vertex) is made
+    assert {(r["src"], r["dst"]): r["score"] for r in graph.betweenness(e).collect()} == pytest.approx(want)
